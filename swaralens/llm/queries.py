@@ -4,9 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import pieces, simhash, token_counts
+from . import mixing, ogg, pieces, pii, simhash, substrings, token_counts, topk, toxicity, url_filter
 from .common import table
 
+RULES = [
+    url_filter.Rule.of("block", "com/en/"),
+    url_filter.Rule.of("allow", "example.com/en/7"),
+    url_filter.Rule.of("allow", "net/de/"),
+    url_filter.Rule.of("block", "example.net/de/8"),
+    url_filter.Rule.of("block", "org/es/"),
+]
+
 
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
@@ -19,13 +27,42 @@ def op1_simhash_near_dedup(spark, sf_dir):
     return near.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op2_toxicity(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_url_filters(spark, sf_dir):
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), RULES)
+
+
 def op4_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op5_suffix_array_dedup(spark, sf_dir):
+    return substrings.deduplicate(table(spark, sf_dir, "documents"))
+
+
+def op6_pii(spark, sf_dir):
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+def op7_ogg(spark, sf_dir):
+    return ogg.from_media(ogg.to_media(table(spark, sf_dir, "documents")))
+
+
+def op8_exact_top_k(spark, sf_dir):
+    vectors = topk.quantised(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors.where("vec_id % 50 = 0"), vectors)
+
+
+def op9_source_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op10_sentencepiece(spark, sf_dir):
     return pieces.piece_codes(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op4_token_counts, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_toxicity, op3_url_filters, op4_token_counts, op5_suffix_array_dedup, op6_pii, op7_ogg, op8_exact_top_k, op9_source_mixing, op10_sentencepiece)}
 ORACLE_SQL: dict[str, str] = {}
