@@ -38,8 +38,9 @@ WIDTH = 50
 GRAM = 16
 #: Bytes of text a chunk row holds; a longer document has a chunk of its own.
 CHUNK = 4 << 20
-#: Positions hashed at once.
-PIECE = 1 << 20
+#: Bytes of blocks that are sorted as one text, and positions hashed at once: what caches hold.
+SORTED = 1 << 20
+PIECE = 1 << 15
 NO_ID = np.iinfo(np.int64).max
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
 CHUNK_ROWS = "chunk long, ids array<long>, sizes array<long>, known array<boolean>, body binary"
@@ -70,6 +71,12 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield row()
 
 
+def _rows(batch: pa.RecordBatch, *names: str):
+    """The values of some columns, a row at a time: chunk rows are large."""
+    for k in range(batch.num_rows):
+        yield tuple(batch.column(name)[k].as_py() for name in names)
+
+
 def chunk_table(docs: DataFrame) -> DataFrame:
     """documents as rows of chunks, in a table bucketed by chunk: joining small rows to it by chunk
     never moves the texts again."""
@@ -100,24 +107,32 @@ class Blocks:
         self.body = np.frombuffer(body, np.uint8)
         self.width = width
         self.begins = np.cumsum(self.sizes) - self.sizes
+        #: Whether a whole window of one document starts at a position.
+        self.starts = np.ones(len(body), bool)
+        for end, size in zip(np.cumsum(self.sizes).tolist(), self.sizes.tolist()):
+            self.starts[end - min(size, width - 1) : end] = False
         parts = [self._part(a, min(a + PIECE, len(body) - width + 1)) for a in range(0, max(0, len(body) - width + 1), PIECE)]
         if parts:
-            self.low, self.count, self.anchor, self.key, self.doc = map(np.concatenate, zip(*parts))
+            self.low, self.count, self.anchor, self.key = map(np.concatenate, zip(*parts))
         else:
-            self.low, self.count, self.anchor, self.doc = (np.empty(0, np.int64) for _ in range(4))
+            self.low, self.count, self.anchor = (np.empty(0, np.int64) for _ in range(3))
             self.key = np.empty(0, np.uint64)
+        self.doc = np.searchsorted(self.begins, self.low, "right") - 1
 
     def _part(self, start: int, stop: int):
         """Blocks of the windows that start in [start, stop)."""
         width = self.width
         grams = width - GRAM + 1
-        raw = np.append(self.body[start : stop + width - 1], np.zeros(8, np.uint8))
         n = stop - start + grams - 1  # gram positions
-        words = np.ndarray((n + 8,), "<u8", np.ascontiguousarray(raw), strides=(1,)).astype(np.uint64)
-        hashes = (words[:n] * MIX[0]) ^ (words[8 : n + 8] * MIX[1])
+        raw = np.zeros(n + 16, np.uint8)
+        raw[: stop + width - 1 - start] = self.body[start : stop + width - 1]
+        words = np.ndarray((n + 8,), "<u8", raw, strides=(1,)).astype(np.uint64)
+        hashes = words[:n] * MIX[0]
+        hashes ^= words[8 : n + 8] * MIX[1]
         hashes ^= hashes >> np.uint64(29)
         hashes *= MIX[2]
         hashes ^= hashes >> np.uint64(32)
+        # The least hash of a window, with its place in the low bits: the leftmost one wins a tie.
         least = (hashes & np.uint64(0xFFFFFFFFFF000000)) | np.arange(n, dtype=np.uint64)
         reach = 1
         while 2 * reach <= grams:
@@ -126,15 +141,13 @@ class Blocks:
         if reach < grams:
             least = np.minimum(least[: -(grams - reach)], least[grams - reach :])
         anchor = (least & np.uint64(0xFFFFFF)).astype(np.int64)
-        window = np.arange(start, stop)
-        doc = np.searchsorted(self.begins, window, "right") - 1
-        whole = window + width <= self.begins[doc] + self.sizes[doc]
-        window, anchor, doc = window[whole], anchor[whole], doc[whole]
+        window = np.flatnonzero(self.starts[start:stop])
+        anchor = anchor[window]
         if not len(window):
-            return *(np.empty(0, np.int64) for _ in range(3)), np.empty(0, np.uint64), np.empty(0, np.int64)
-        first = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])])
+            return *(np.empty(0, np.int64) for _ in range(3)), np.empty(0, np.uint64)
+        first = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (window[1:] != window[:-1] + 1)])
         count = np.diff(np.r_[first, len(window)])
-        return window[first], count, anchor[first] + start, hashes[anchor[first]], doc[first]
+        return window[first] + start, count, anchor[first] + start, hashes[anchor[first]]
 
     def places(self, shards: int) -> tuple[np.ndarray, np.ndarray]:
         """Each block's place among the sorted (shard, rest of the hash), and those places."""
@@ -196,7 +209,7 @@ def _tell_anchors(shards: int, width: int):
 
     def run(batches):
         for batch in batches:
-            for chunk, ids, sizes, body in zip(*(batch.column(c).to_pylist() for c in ("chunk", "ids", "sizes", "body"))):
+            for chunk, ids, sizes, body in _rows(batch, "chunk", "ids", "sizes", "body"):
                 blocks = Blocks(ids, sizes, body, width)
                 if not len(blocks.low):
                     continue
@@ -257,7 +270,7 @@ def _send_blocks(shards: int, width: int):
 
     def run(batches):
         for batch in batches:
-            for chunk, ids, sizes, body, answer in zip(*(batch.column(c).to_pylist() for c in ("chunk", "ids", "sizes", "body", "answer"))):
+            for chunk, ids, sizes, body, answer in _rows(batch, "chunk", "ids", "sizes", "body", "answer"):
                 blocks = Blocks(ids, sizes, body, width)
                 rows, shard = blocks.shared(shards, _answers(answer))
                 if not len(rows):
@@ -280,9 +293,26 @@ def _send_blocks(shards: int, width: int):
 def first_holders(content: np.ndarray, begin: np.ndarray, count: np.ndarray, low: np.ndarray, width: int) -> np.ndarray:
     """For each distinct block and each of its windows, the smallest id of a block with that window.
 
-    The blocks form one text, in which windows are the suffixes that have `width` bytes of their
-    block left; sorted suffixes with equal prefixes are equal windows."""
+    The blocks form texts of about SORTED bytes, those of one anchor in one text. There, windows are the
+    suffixes that have `width` bytes of their block left; sorted suffixes with equal prefixes are equal
+    windows."""
+    out = np.full((len(content), width - GRAM + 1), NO_ID)
+    gram = row_groups(np.ascontiguousarray(content[:, width - GRAM : width]))
+    several = np.bincount(gram) > 1
+    alone = ~several[gram]
+    # No other block has this one's anchor, so none has its windows.
+    out[alone] = np.where(np.arange(width - GRAM + 1) < count[alone][:, None], low[alone][:, None], NO_ID)
+    rest = np.flatnonzero(~alone)
+    part = gram[rest] % max(1, -(-int((count[rest] + width - 1).sum()) // SORTED))
+    for rows in np.split(rest[np.argsort(part, kind="stable")], np.cumsum(np.bincount(part))[:-1]) if len(rest) else ():
+        out[rows] = _sorted_holders(content[rows], begin[rows], count[rows], low[rows], width)
+    return out
+
+
+def _sorted_holders(content: np.ndarray, begin: np.ndarray, count: np.ndarray, low: np.ndarray, width: int) -> np.ndarray:
     n, size = content.shape
+    if not n:
+        return np.full((0, width - GRAM + 1), NO_ID)
     column = np.arange(size)
     inside = (column >= begin[:, None]) & (column < (begin + count + width - 1)[:, None])
     text = content[inside]
@@ -351,8 +381,7 @@ def _removed(blocks: Blocks, rows, shard, masks: np.ndarray) -> np.ndarray:
 def _digest(shards: int, width: int, keep_text: bool):
     def run(batches):
         for batch in batches:
-            names = ("ids", "sizes", "known", "body", "answer", "lost")
-            for ids, sizes, known, body, answer, lost in zip(*(batch.column(c).to_pylist() for c in names)):
+            for ids, sizes, known, body, answer, lost in _rows(batch, "ids", "sizes", "known", "body", "answer", "lost"):
                 raw = np.frombuffer(body, np.uint8)
                 gone = None
                 if lost:

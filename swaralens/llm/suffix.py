@@ -60,7 +60,7 @@ def _spread(sa: np.ndarray, found: np.ndarray, chars: np.ndarray, edge: np.ndarr
 def induce(s: np.ndarray, small: np.ndarray, buckets: Buckets, lms: np.ndarray) -> np.ndarray:
     """All suffixes sorted from LMS suffixes that are in order within their first characters."""
     n = len(s)
-    sa = np.full(n, -1, np.int64)
+    sa = np.full(n, -1, lms.dtype)
     tail = buckets.end.copy()
     _spread(sa, lms[::-1], s[lms[::-1]], tail, -1)
     head = buckets.start.copy()
@@ -162,7 +162,8 @@ def suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
         s = table[text]
     s = np.append(s, np.zeros(1, s.dtype))
     small = classify(s)
-    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    index = np.int32 if n < 2**31 - 1 else np.int64
+    lms = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(index)
     buckets = Buckets(s)
     if len(lms) > 1:
         is_lms = np.zeros(n + 1, bool)
