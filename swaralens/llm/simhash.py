@@ -29,6 +29,8 @@ SEED = 42
 RADIUS = 3
 #: Classes of one key that are compared at once.
 BLOCK = 4096
+#: Fingerprint classes with more than one in HOT of all rows are too large for one shuffle partition.
+HOT = 1000
 #: The bits of each of the 256 byte values, lowest first.
 BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 LANE = np.arange(8, dtype=np.int64) * 256
@@ -223,13 +225,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     documents are ignored.
     """
     prints = materialize(fingerprints(docs), "fingerprints")
-    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
+    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "classes")
     rooted = components(links(classes)).select(F.col("node").alias("fp"), "root")
     named = classes.join(rooted, "fp")
     lows = named.groupBy("root").agg(F.min("first_id").alias("low"))
     named = named.join(lows, "root").select("fp", "low")
-    ids = classes.join(named, "fp", "left").select("fp", F.coalesce("low", "first_id").alias("component_id"))
-    return prints.join(ids, "fp", "left").select("doc_id", "fp", "component_id")
+    ids = materialize(classes.join(named, "fp", "left").select("fp", F.coalesce("low", "first_id").alias("component_id"), "n"), "ids")
+    # At most HOT classes have more than one in HOT of the rows: those are joined without a shuffle.
+    total = ids.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(ids.where(F.col("n") * HOT > total).drop("n"))
+    rest = prints.join(hot.select("fp"), "fp", "left_anti").join(ids.drop("n"), "fp", "left")
+    return rest.unionByName(prints.join(hot, "fp")).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
