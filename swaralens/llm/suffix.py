@@ -36,7 +36,7 @@ class Buckets:
     """Where each character's suffixes stand in the array."""
 
     def __init__(self, s: np.ndarray) -> None:
-        self.size = np.bincount(s, minlength=256)
+        self.size = np.bincount(s, minlength=257)
         self.end = np.cumsum(self.size)
         self.start = self.end - self.size
         self.used = np.flatnonzero(self.size)
@@ -46,7 +46,7 @@ def _spread(sa: np.ndarray, found: np.ndarray, chars: np.ndarray, edge: np.ndarr
     """Appends suffixes to their characters' buckets, in order; edge moves by step a suffix."""
     order = np.argsort(chars, kind="stable")
     sorted_chars = chars[order]
-    counts = np.bincount(sorted_chars, minlength=256)
+    counts = np.bincount(sorted_chars, minlength=257)
     first = np.cumsum(counts) - counts
     within = np.arange(len(order)) - first[sorted_chars]
     if step > 0:
