@@ -6,6 +6,7 @@ Ties are broken in one order everywhere: substitution or match, then deletion, t
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -44,22 +45,26 @@ def variants(word: Column | str) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.transform(found, form), lambda v: v != "")))
 
 
-def _path(n: int, m: int, equal) -> list[tuple[int, int]]:
-    """The alignment as (i, j) pairs; -1 is a gap. equal(i, j) tells whether the two match."""
-    cost = [list(range(m + 1))]
+def _path(match: np.ndarray) -> list[tuple[int, int]]:
+    """The alignment as (i, j) pairs; -1 is a gap. match tells which i and j are equal. A row of the cost
+    table takes a few array operations: insertions within it are a running minimum."""
+    n, m = match.shape
+    steps = np.arange(m + 1)
+    cost = np.empty((n + 1, m + 1), np.int64)
+    cost[0] = steps
     for i in range(n):
-        above, row = cost[-1], [i + 1]
-        for j in range(m):
-            row.append(min(above[j] + (not equal(i, j)), above[j + 1] + 1, row[j] + 1))
-        cost.append(row)
+        cost[i + 1] = cost[i] + 1
+        np.minimum(cost[i + 1, 1:], cost[i, :-1] + np.logical_not(match[i]), out=cost[i + 1, 1:])
+        cost[i + 1] = np.minimum.accumulate(cost[i + 1] - steps) + steps
+    table, same = cost.tolist(), match.tolist()
     out = []
     i, j = n, m
     while i or j:
-        here = cost[i][j]
-        if i and j and here == cost[i - 1][j - 1] + (not equal(i - 1, j - 1)):
+        here = table[i][j]
+        if i and j and here == table[i - 1][j - 1] + (not same[i - 1][j - 1]):
             i, j = i - 1, j - 1
             out.append((i, j))
-        elif i and here == cost[i - 1][j] + 1:
+        elif i and here == table[i - 1][j] + 1:
             i -= 1
             out.append((i, -1))
         else:
@@ -68,6 +73,12 @@ def _path(n: int, m: int, equal) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def _equal(x: list, y: list) -> np.ndarray:
+    numbers: dict = {}
+    a, b = (np.array([numbers.setdefault(t, len(numbers)) for t in side], np.int64) for side in (x, y))
+    return a[:, None] == b
+
+
 @F.pandas_udf(ALIGNED)
 def align(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
     """Pairs of two arrays of lattice_tokens(); a gap is null."""
@@ -76,7 +87,7 @@ def align(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
         if r is None or h is None:
             return None
         x, y = [t.lower() for t in r], [t.lower() for t in h]
-        return [{"ref": r[i] if i >= 0 else None, "hyp": h[j] if j >= 0 else None} for i, j in _path(len(x), len(y), lambda i, j: x[i] == y[j])]
+        return [{"ref": r[i] if i >= 0 else None, "hyp": h[j] if j >= 0 else None} for i, j in _path(_equal(x, y))]
 
     return pd.Series([one(r, h) for r, h in zip(reference, hypothesis)], dtype=object)
 
@@ -89,7 +100,7 @@ def lattice_wer(bins: pd.Series, hypothesis: pd.Series) -> pd.DataFrame:
     for b, h in zip(bins, hypothesis):
         sets = [frozenset(x) for x in (b if b is not None else ())]
         words = [t.strip().lower() for t in (h if h is not None else ())]
-        path = _path(len(sets), len(words), lambda i, j: words[j] in sets[i]) if sets else [(-1, j) for j in range(len(words))]
+        path = _path(np.array([[w in x for w in words] for x in sets], bool).reshape(len(sets), len(words))) if sets else [(-1, j) for j in range(len(words))]
         s = sum(i >= 0 and j >= 0 and words[j] not in sets[i] for i, j in path)
         d = sum(j < 0 for _, j in path)
         n = sum(i < 0 for i, _ in path)

@@ -24,9 +24,15 @@ def _as_characters(words: Column, vocabulary: Column) -> Column:
 def token_distance(left: Column, right: Column) -> Column:
     """Fewest substitutions, deletions and insertions between two token arrays. Raises beyond ROOM
     distinct tokens a pair."""
-    vocabulary = F.array_distinct(F.concat(left, right))
-    fits = F.when(F.size(vocabulary) > ROOM, F.raise_error(F.lit("too many distinct tokens in a pair")))
-    return F.coalesce(fits.cast("int"), F.levenshtein(_as_characters(left, vocabulary), _as_characters(right, vocabulary)))
+    # As fields of a one-row array, the sides and their vocabulary are worked out once a pair; within
+    # a lambda they would be worked out again for every token.
+    both = F.transform(F.array(F.struct(left.alias("l"), right.alias("r"))), lambda p: F.struct(p["l"].alias("l"), p["r"].alias("r"), F.array_distinct(F.concat(p["l"], p["r"])).alias("v")))
+
+    def distance(p: Column) -> Column:
+        fits = F.when(F.size(p["v"]) > ROOM, F.raise_error(F.lit("too many distinct tokens in a pair")).cast("int"))
+        return F.coalesce(fits, F.levenshtein(_as_characters(p["l"], p["v"]), _as_characters(p["r"], p["v"])))
+
+    return F.element_at(F.transform(both, distance), 1)
 
 
 def wer_edits(reference: Column | str, hypothesis: Column | str) -> Column:
