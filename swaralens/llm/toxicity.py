@@ -87,12 +87,8 @@ class Trees:
         inner = self.feature.shape[1]
         for f, c, v in zip(self.feature, self.cut, self.leaf):
             node = np.zeros(len(x), int)
-            while True:
+            for _ in range((inner + 1).bit_length() - 1):
                 node = 2 * node + 1 + (x[rows, f[node]] > c[node])
-                if 2 * node[0] + 1 > inner + self.leaf.shape[1]:
-                    break
-                if node[0] >= inner:
-                    break
             out += v[node - inner]
         return out
 
@@ -152,7 +148,8 @@ def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]
             m2, w2, _, end = blocks.pop()
             m1, w1, start, _ = blocks.pop()
             blocks.append([(m1 * w1 + m2 * w2) / (w1 + w2), w1 + w2, start, end])
-    knots = [(x, (b[0] * b[1] + 0.5 * base_pull) / (b[1] + base_pull)) for b in blocks for base_pull in (1.0,) for x in ((b[2], b[3]) if b[2] < b[3] else (b[2],))]
+    # Half a row of each kind keeps small blocks from shares of 0 and 1.
+    knots = [(x, (share * n + 0.5) / (n + 1)) for share, n, first, last in blocks for x in ((first, last) if first < last else (first,))]
     xs, ys = np.array([k[0] for k in knots]), np.maximum.accumulate([k[1] for k in knots])
     return xs, ys
 
@@ -180,13 +177,14 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
 
 
 def learned_words(rows: DataFrame, most: int = 200) -> frozenset[bytes]:
-    """Words whose presence makes a training row far likelier toxic: in at least ten rows, at least
-    four times as often toxic as usual, and of three letters or more."""
-    words = rows.select("toxic", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("word")).where("length(word) > 2")
-    counts = words.groupBy("word").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")).where("n >= 10 and bad >= 5")
-    share = rows.agg(F.avg("toxic")).first()[0] or 0.0
-    strong = counts.where((F.col("bad") + 0.5) / (F.col("n") + 1) >= min(0.6, max(0.3, 4 * share)))
-    top = strong.orderBy(F.desc(F.col("bad") / F.col("n")), F.desc("n"), "word").limit(most)
+    """Words that training rows show to be toxic, by the words they follow: at least ten different
+    ones, of which most occur in toxic rows only. Copies of a toxic text repeat its contexts, so they
+    do not make its ordinary words toxic."""
+    words = rows.select("toxic", F.split(F.lower("text"), r"[^\p{L}\p{N}]+").alias("w"))
+    pairs = words.select("toxic", F.explode(F.arrays_zip(F.slice("w", 1, F.size("w") - 1).alias("before"), F.slice("w", 2, F.size("w")).alias("word"))).alias("p")).select("toxic", "p.*").where("length(word) > 2")
+    contexts = pairs.groupBy("word", "before").agg(F.min("toxic").alias("bad"))
+    counts = contexts.groupBy("word").agg(F.sum("bad").alias("bad"), F.count("*").alias("n")).where("bad >= 10 and bad >= 0.6 * n")
+    top = counts.orderBy(F.desc(F.col("bad") / F.col("n")), F.desc("n"), "word").limit(most)
     return frozenset(r["word"].encode() for r in top.collect())
 
 
