@@ -119,3 +119,26 @@ def test_first_rows_and_first_seen(spark):
     rows = spark.createDataFrame([("a", 3), ("a", 1), ("b", 2)], "w string, pos int")
     assert {tuple(r) for r in spelling.first_seen(rows, "w", "pos").collect()} == {("a", 1), ("b", 2)}
     assert {tuple(r) for r in spelling.first_rows(rows, ["w"], ["pos"], 1).collect()} == {("a", 1), ("b", 2)}
+
+
+def test_requests(spark):
+    from swaralens.operators import workflows
+
+    row = workflows.normalize_request(spark.createDataFrame([("दो सौ interview",)], "text string")).first()
+    assert row["normalized"] == "200 interview" and row["english_words"] == ["interview"]
+    assert workflows.detect_request(spark.createDataFrame([("a क",)], "text string")).first()["tagged"] == "[EN]a[/EN] क"
+    with pytest.raises(Exception, match="text is required"):
+        workflows.detect_request(spark.createDataFrame([(" ",)], "text string")).collect()
+    results, counts = workflows.spell_request(spark.createDataFrame([(k, "भारत") for k in range(600)], "pos int, word string"), "pos")
+    assert results.count() == counts.first()["total"] == 500
+
+
+def test_sheet_workflows(spark):
+    from swaralens.operators import workflows
+
+    sheet = spark.createDataFrame([(1, "200 लोग", "दो सौ लोग", "x"), (2, " ", "a", "b")], "utt_id long, Human string, `Model H` string, `Model i` string")
+    rates, examples = workflows.cleanup_report(workflows.cleanup_pairs(sheet))
+    assert tuple(rates.first())[0] == 1 and rates.first()["wer_after"] == 0.0 and examples.count() == 1
+    pairs = spark.createDataFrame([(1, "a b c d", "a b c x"), (2, "a", "a ")], "idx long, reference string, predicted string")
+    sampled, severities, fix = workflows.error_report(pairs)
+    assert sampled.count() == 1 and severities.first()["severity"] == "Low" and fix.first()["n"] == 2
