@@ -21,6 +21,8 @@ from .common import drop_table, materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DAMPING, ROUNDS, THRESHOLD = 0.85, 12, 1.0
+#: What sums in another order may differ by.
+SLACK = 1e-12
 
 
 @dataclass(frozen=True)
@@ -72,40 +74,42 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """Personalised PageRank: (host, rank) from edges (src, dst, weight) and seeds (host, mass, which
-    sum to 1). What a host without links holds goes back to the seeds."""
-    out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
-    steps = materialize(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")), "steps")
+    """Personalised PageRank of several kinds at once: (kind, host, rank) from edges (kind, src, dst,
+    weight) and seeds (kind, host, mass, which sum to 1 a kind). What a host without links holds goes
+    back to the seeds. A round is one job, whose result is written."""
+    out = edges.groupBy("kind", "src").agg(F.sum("weight").alias("total"))
+    steps = materialize(edges.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("weight") / F.col("total") * damping).alias("share")), "steps")
     seeds = materialize(seeds, "seeds")
-    rank = seeds.select("host", F.col("mass").alias("rank"))
+    rank = seeds.select("kind", "host", F.col("mass").alias("rank"))
     kept = None
-    for turn in range(rounds):
-        moved = rank.join(steps, rank.host == steps.src).groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("rank") * F.col("share") * damping).alias("got"))
-        lost = 1.0 - (moved.agg(F.sum("got")).first()[0] or 0.0)
-        rank = moved.join(seeds, "host", "full").select("host", (F.coalesce("got", F.lit(0.0)) + F.coalesce("mass", F.lit(0.0)) * lost).alias("rank"))
-        now = materialize(rank, "rank")
+    for _ in range(rounds):
+        moved = rank.join(steps, ["kind", "host"]).groupBy("kind", F.col("dst").alias("host")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
+        moving = moved.groupBy("kind").agg(F.sum("got").alias("moving"))
+        back = seeds.join(F.broadcast(moving), "kind", "left").select("kind", "host", (F.col("mass") * (1 - F.coalesce("moving", F.lit(0.0)))).alias("back"))  # a row a kind
+        rank = materialize(moved.join(back, ["kind", "host"], "full").select("kind", "host", (F.coalesce("got", F.lit(0.0)) + F.coalesce("back", F.lit(0.0))).alias("rank")), "rank")
         if kept is not None:
             drop_table(kept)
-        rank = kept = now
+        kept = rank
     return rank
 
 
-def seed_mass(pages: DataFrame, verdict: str) -> DataFrame:
-    """(host, mass) of the hosts with pages of a verdict, by pages; empty without such pages."""
-    counts = pages.where(F.col("judged.verdict") == verdict).where("host <> ''").groupBy("host").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 1
-    return counts.select("host", (F.col("n") / F.lit(float(total))).alias("mass"))
+def seed_mass(pages: DataFrame) -> DataFrame:
+    """(kind, host, mass): the share of each host in the pages that an allow rule (kind 'trust') or a
+    block rule (kind 'distrust') takes."""
+    kind = F.when(F.col("judged.verdict") == "allow", "trust").when(F.col("judged.verdict") == "block", "distrust")
+    counts = pages.where("host <> ''").select(kind.alias("kind"), "host").where("kind is not null").groupBy("kind", "host").agg(F.count("*").alias("n"))
+    totals = counts.groupBy("kind").agg(F.sum("n").alias("total"))
+    return counts.join(F.broadcast(totals), "kind").select("kind", "host", (F.col("n") / F.col("total")).alias("mass"))  # a row a kind
 
 
 def host_verdicts(pages: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, threshold: float = THRESHOLD) -> DataFrame:
     """(host, trust, distrust, host_verdict) from pages (host, html, judged)."""
     edges = materialize(host_edges(pages), "edges")
-    seeds = pages.select("host", "judged")
-    trust = spread(edges, seed_mass(seeds, "allow"), damping, rounds).withColumnRenamed("rank", "trust")
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    distrust = spread(back, seed_mass(seeds, "block"), damping, rounds).withColumnRenamed("rank", "distrust")
-    both = trust.join(distrust, "host", "full").select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
-    return both.withColumn("host_verdict", F.when(F.col("distrust") > F.col("trust") * threshold, "block").otherwise("allow"))
+    ways = edges.select(F.lit("trust").alias("kind"), "src", "dst", "weight").union(edges.select(F.lit("distrust"), "dst", "src", "weight"))
+    ranks = spread(ways, seed_mass(pages.select("host", "judged")), damping, rounds)
+    of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("rank")).otherwise(0.0)).alias(kind)
+    both = ranks.groupBy("host").agg(of("trust"), of("distrust"))
+    return both.withColumn("host_verdict", F.when(F.col("distrust") > F.col("trust") * threshold + SLACK, "block").otherwise("allow"))
 
 
 def judge_urls(pages: DataFrame, rules: list[Rule], damping: float = DAMPING, rounds: int = ROUNDS, threshold: float = THRESHOLD) -> DataFrame:
