@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import sys
 import tempfile
 import uuid
 
@@ -69,7 +68,3 @@ def texts_of(batch, column: str = "text") -> list[str]:
 
 def crc_mod3(column) -> F.Column:
     return F.crc32(column.cast("string")) % 3
-
-
-def interned(text: str) -> str:
-    return sys.intern(text)

@@ -83,8 +83,8 @@ class Mapped:
         self.changed = bytearray(len(text))
 
     def rewrite(self, pattern: re.Pattern, target) -> None:
-        """Replaces matches by target(match). A replacement's characters stand for the whole match; a
-        part that target leaves as it is, given as (start, end), keeps its own mapping."""
+        """Replaces matches by target(match), or leaves them where that is None. A replacement's
+        characters all stand for the whole match."""
         text: list[str] = []
         starts: list[int] = []
         ends: list[int] = []

@@ -137,14 +137,8 @@ def huge_count(model, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) ->
         wide, joined = overlap, None
         while joined is None:
             right_from = at - wide
-            if right_from <= left_from:
-                begin = left_from
-                starts, ends = model.spans(text[begin:to])
-                skip = int(np.searchsorted(left[0], begin)) if begin else 0
-                joined = (starts + begin, ends + begin) if not begin else None
-                if joined is None:  # the left chunk's own start is a splice: go back to the text's start
-                    joined, done = model.spans(text[:to]), 0
-                del skip
+            if right_from <= left_from:  # nothing is stable in all of the left chunk
+                joined, done = model.spans(text[:to]), 0
                 break
             joined = splice(model, text, left, left_from, right_from, to)
             wide *= 2

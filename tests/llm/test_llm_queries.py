@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from swaralens.llm import components, mixing, ogg, pieces, pii, simhash, substrings, token_counts, topk, toxicity, url_filter
@@ -61,8 +62,8 @@ def test_links_beyond_a_block(spark):
     base = rng.getrandbits(32)
     prints = {base | (1 << 32 + b) * s for b in range(31) for s in (0, 1)} | {base | (1 << 32 + b | 1 << 32 + c) for b in range(31) for c in range(b)}
     fps = np.array(sorted(prints), np.uint64)
-    batches = list(simhash._keys([__import__("pyarrow").RecordBatch.from_arrays([__import__("pyarrow").array(fps.view(np.int64))], names=["fp"])]))
-    table = __import__("pyarrow").Table.from_batches(batches).sort_by("key")
+    batches = list(simhash._keys([pa.RecordBatch.from_arrays([pa.array(fps.view(np.int64))], names=["fp"])]))
+    table = pa.Table.from_batches(batches).sort_by("key")
     whole = simhash.BLOCK
     try:
         simhash.BLOCK = 64
