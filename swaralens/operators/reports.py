@@ -82,7 +82,6 @@ def wer_table(rates: DataFrame) -> DataFrame:
 
 def completeness(report: DataFrame, keys: list[str]) -> DataFrame:
     """(key, present) for dotted paths of a one-row report."""
-    names = set(report.select("*").schema.names)
 
     def has(path: str) -> bool:
         schema = report.schema
@@ -92,7 +91,6 @@ def completeness(report: DataFrame, keys: list[str]) -> DataFrame:
             schema = schema[part].dataType
         return True
 
-    del names
     return report.sparkSession.createDataFrame([(k, has(k)) for k in keys], "key string, present boolean")
 
 
