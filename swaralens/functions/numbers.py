@@ -54,7 +54,9 @@ def number_value(words: Column) -> Column:
     return F.when(value > 0, value)
 
 
-def _value(words: list[str]) -> int:
+def _value(words: list[str], additive: bool = False) -> int:
+    """additive: a thousand or more multiplies what stands right before it only, so that descending
+    multipliers add up; otherwise it multiplies all that stands before it."""
     total = current = 0
     for w in words:
         if w in ONES:
@@ -63,13 +65,13 @@ def _value(words: list[str]) -> int:
         times = MULTIPLIERS[w]
         current = current or 1
         if times >= 1000:
-            total, current = (total + current) * times, 0
+            total, current = total + current * times if additive else (total + current) * times, 0
         else:
             current *= times
     return total + current
 
 
-def spoken_to_digits(text: str) -> str:
+def spoken_to_digits(text: str, additive: bool = False) -> str:
     """Number words of a text as digits. Runs of number words are read six at a time; zero is no
     number and stays a word."""
     for k, phrase in enumerate(IDIOM_ORDER):
@@ -81,7 +83,7 @@ def spoken_to_digits(text: str) -> str:
         stop = at
         while stop < n and stop - at < WINDOW and (words[stop] in ONES or words[stop] in MULTIPLIERS):
             stop += 1
-        value = _value(words[at:stop])
+        value = _value(words[at:stop], additive)
         if value:
             out.append(str(value))
             at = stop
@@ -97,3 +99,9 @@ def spoken_to_digits(text: str) -> str:
 @F.pandas_udf(StringType())
 def normalize_numbers(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else spoken_to_digits(t))
+
+
+@F.pandas_udf(StringType())
+def normalize_numbers_additive(texts: pd.Series) -> pd.Series:
+    """As normalize_numbers, but 'one lakh five thousand' is 105000."""
+    return texts.map(lambda t: None if t is None else spoken_to_digits(t, True))

@@ -35,10 +35,16 @@ def alignments(hyps: DataFrame) -> DataFrame:
     return pairs.select("utt_id", "model_ord", F.posexplode("pairs").alias("pos", "pair")).select("utt_id", "model_ord", "pos", "pair.ref", "pair.hyp")
 
 
-def bins(aligned: DataFrame) -> DataFrame:
+def bins(aligned: DataFrame, mode: str = "column", threshold: float = 0.6) -> DataFrame:
     """(utt_id, position, ref, variants): the lattice. A column's reference word is the first model's
-    that has one; its bin holds the variants of that word and of every model's word."""
+    that has one; its bin holds the variants of that word and of every model's word. With mode 'vote',
+    only words that at least `threshold` of the models agree on join the reference word."""
+    if mode not in ("column", "vote"):
+        raise ValueError(f"unknown mode {mode}")
     columns = aligned.groupBy("utt_id", "pos").agg(F.min_by("ref", F.when(F.col("ref").isNotNull(), F.col("model_ord"))).alias("ref"), F.collect_set("hyp").alias("hyps"))
+    if mode == "vote":
+        agreed = votes(aligned, threshold).where(F.col("share") >= threshold).groupBy("utt_id", "pos").agg(F.collect_set("form").alias("hyps"))
+        columns = columns.drop("hyps").join(agreed, ["utt_id", "pos"], "left").withColumn("hyps", F.coalesce("hyps", F.array().cast("array<string>")))
     words = F.array_compact(F.array_union(F.array("ref"), F.col("hyps")))
     merged = columns.select("utt_id", "pos", "ref", F.array_sort(F.array_distinct(F.flatten(F.transform(words, variants)))).alias("variants")).where(F.size("variants") > 0)
     return merged.withColumn("position", F.row_number().over(Window.partitionBy("utt_id").orderBy("pos")) - 1).select("utt_id", "position", "ref", "variants")
@@ -54,16 +60,16 @@ def votes(aligned: DataFrame, threshold: float = 0.6) -> DataFrame:
     return out.select("utt_id", "pos", "form", "n", "share", ((F.col("share") >= threshold) & ~F.col("form").eqNullSafe(F.col("ref"))).alias("trusted"))
 
 
-def lattices(hyps: DataFrame) -> DataFrame:
+def lattices(hyps: DataFrame, mode: str = "column", threshold: float = 0.6) -> DataFrame:
     """(utt_id, lattice): bins in order of position."""
     ordered = F.array_sort(F.collect_list(F.struct("position", "variants")))
-    return bins(alignments(hyps)).groupBy("utt_id").agg(F.transform(ordered, lambda b: b["variants"]).alias("lattice"))
+    return bins(alignments(hyps), mode, threshold).groupBy("utt_id").agg(F.transform(ordered, lambda b: b["variants"]).alias("lattice"))
 
 
-def evaluate(hyps: DataFrame) -> DataFrame:
+def evaluate(hyps: DataFrame, mode: str = "column", threshold: float = 0.6) -> DataFrame:
     """Scores of every hypothesis: standard and lattice error rate, their parts, and whether the
     lattice is fairer. Utterances without a lattice score 0.0 on it."""
-    joined = hyps.join(lattices(hyps), "utt_id", "left")
+    joined = hyps.join(lattices(hyps, mode, threshold), "utt_id", "left")
     scored = joined.select("utt_id", "model_ord", "model", standard_wer("reference", "hyp").alias("standard_wer"), lattice_wer(F.coalesce("lattice", F.array().cast("array<array<string>>")), lattice_tokens("hyp")).alias("s"))
     return scored.select("utt_id", "model_ord", "model", "standard_wer", F.col("s.wer").alias("lattice_wer"), "s.substitutions", "s.deletions", "s.insertions", F.col("s.ref_length").alias("bins"), "s.hyp_length", (F.col("s.wer") < F.col("standard_wer")).alias("improved"), verdict(F.col("standard_wer"), F.col("s.wer")).alias("verdict"))
 

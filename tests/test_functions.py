@@ -101,3 +101,7 @@ def test_token_distance_is_a_metric(spark):
 def test_virama_and_confidence(spark):
     bad = lambda c: spell.has_bad_virama(F.col(c))
     assert one(spark, "भारत्", bad) is True and one(spark, "नमस्ते", bad) is False
+
+
+def test_additive_numbers():
+    assert numbers.spoken_to_digits("एक लाख पाँच हज़ार", additive=True) == "105000" and numbers.spoken_to_digits("एक लाख पाँच हज़ार") == "100005000"

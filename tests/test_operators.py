@@ -142,3 +142,13 @@ def test_sheet_workflows(spark):
     pairs = spark.createDataFrame([(1, "a b c d", "a b c x"), (2, "a", "a ")], "idx long, reference string, predicted string")
     sampled, severities, fix = workflows.error_report(pairs)
     assert sampled.count() == 1 and severities.first()["severity"] == "Low" and fix.first()["n"] == 2
+
+
+def test_vote_lattice(spark):
+    hyps = spark.createDataFrame([(1, "a b", k, f"M{k}", h) for k, h in enumerate(["a x", "a x", "a x", "a y", "a b"])], "utt_id long, reference string, model_ord int, model string, hyp string")
+    forms = lambda mode: [r["variants"] for r in lattices.bins(lattices.alignments(hyps), mode).orderBy("position").collect()]
+    assert forms("vote") == [["a"], ["b", "x"]] and forms("column") == [["a"], ["b", "x", "y"]]
+    rates = {r["model"]: r["lattice_wer"] for r in lattices.evaluate(hyps, "vote").collect()}
+    assert rates["M0"] == 0.0 and rates["M3"] == 50.0
+    with pytest.raises(ValueError):
+        lattices.bins(hyps, "none")
