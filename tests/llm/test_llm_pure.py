@@ -158,7 +158,8 @@ def test_ogg_checksum_bit_by_bit():
     [
         ("mail john.doe [at] example [dot] com now", "email:5:36"), ("john at example dot com", "email:0:23"), ("look at example.com please", ""), ("john(at)mail.example.com", "email:0:24"),
         ("plus four nine one five one two three four five six seven eight", "phone:0:63"), ("one nine two dot one six eight dot one dot two five", "ip:0:51"), ("jоhn@exаmple.com", "email:0:16"),
-        ("＋４９ １５１ ２３４５ ６７８９", "phone:0:17"), ("4111 1111 1111 1111", "card:0:19"), ("is at the dot of", ""), ("one two", ""), ("", ""), ("999.1.1.1 and 10.0.0.1", "ip:14:22"),
+        ("＋４９ １５１ ２３４５ ６７８９", "phone:0:17"), ("4111 1111 1111 1111", "card:0:19"), ("is at the dot of", ""), ("one two", ""), ("", ""), ("john-at-example-dot-com x", "email:0:23"), ("jane dot doe at mail dot example dot org", "email:0:40"), ("192 dot 168 dot 1 dot 10", "ip:0:24"), ("10[.]0[.]0[.]1", "ip:0:14"),
+        ("a well-at-ease dot", ""), ("meet at noon dot com is down", "email:0:20"), ("jane＠example．com", "email:0:16"), ("999.1.1.1 and 10.0.0.1", "ip:14:22"),
     ],
 )
 def test_personal_data(text, kinds):
