@@ -32,7 +32,9 @@ def with_enough_models(hyps: DataFrame, least: int = 2) -> DataFrame:
 def alignments(hyps: DataFrame) -> DataFrame:
     """(utt_id, model_ord, pos, ref, hyp): one row an alignment column of a model."""
     pairs = hyps.select("utt_id", "model_ord", align(lattice_tokens("reference"), lattice_tokens("hyp")).alias("pairs"))
-    return pairs.select("utt_id", "model_ord", F.posexplode("pairs").alias("pos", "pair")).select("utt_id", "model_ord", "pos", "pair.ref", "pair.hyp")
+    # The outer form: a plain explode would put a filter on the pairs, and so align every row twice.
+    columns = pairs.select("utt_id", "model_ord", F.posexplode_outer("pairs").alias("pos", "pair")).where("pos is not null")
+    return columns.select("utt_id", "model_ord", "pos", "pair.ref", "pair.hyp")
 
 
 def bins(aligned: DataFrame, mode: str = "column", threshold: float = 0.6) -> DataFrame:

@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.spell import classify, normal_word, signals
 from ..functions.text import nfc, reason_prefix, round_even, strip, tokens
 
 
+def _neighbours(word: str) -> Column:
+    """(prev, char) of each character of a word but the first, one row each; one null row for others. A
+    filter on the composed word would compose it twice."""
+    at = F.sequence(F.lit(2), F.length(word))
+    pairs = F.transform(at, lambda k: F.struct(F.substr(word, k - 1, F.lit(1)).alias("prev"), F.substr(word, k, F.lit(1)).alias("char")))
+    return F.explode_outer(F.when(F.length(word) > 1, pairs))
+
+
 def char_counts(corpus: DataFrame, column: str = "line") -> tuple[DataFrame, DataFrame]:
     """(char, n) and (prev, char, n): characters and neighbours within the words of a corpus."""
     words = corpus.select(F.explode(tokens(column)).alias("w")).select(nfc("w").alias("w"))
     at = F.sequence(F.lit(1), F.length("w"))
     single = words.select(F.explode(F.transform(at, lambda k: F.substr("w", k, F.lit(1)))).alias("char"))
-    pairs = words.where("length(w) > 1").select(F.explode(F.transform(F.sequence(F.lit(2), F.length("w")), lambda k: F.struct(F.substr("w", k - 1, F.lit(1)).alias("prev"), F.substr("w", k, F.lit(1)).alias("char")))).alias("p"))
+    pairs = words.select(_neighbours("w").alias("p")).where("p is not null")
     return single.groupBy("char").agg(F.count("*").alias("n")), pairs.select("p.*").groupBy("prev", "char").agg(F.count("*").alias("n"))
 
 
@@ -24,7 +32,7 @@ def bigram_scores(words: DataFrame, unigrams: DataFrame, bigrams: DataFrame, wor
     size = unigrams.agg(F.count("*").alias("v"))
     distinct = words.select(F.col(word).alias("word")).distinct()
     normal = distinct.select("word", nfc("word").alias("w"))
-    pairs = normal.where("length(w) > 1").select("word", F.explode(F.transform(F.sequence(F.lit(2), F.length("w")), lambda k: F.struct(F.substr("w", k - 1, F.lit(1)).alias("prev"), F.substr("w", k, F.lit(1)).alias("char")))).alias("p")).select("word", "p.*")
+    pairs = normal.select("word", _neighbours("w").alias("p")).where("p is not null").select("word", "p.*")
     u = unigrams.select(F.col("char").alias("prev"), F.col("n").alias("u"))
     b = bigrams.select("prev", "char", F.col("n").alias("b"))
     counted = pairs.join(u, "prev", "left").join(b, ["prev", "char"], "left").crossJoin(size)  # one row
