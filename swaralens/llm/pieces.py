@@ -31,7 +31,7 @@ from .common import texts_of
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 #: Units and token pairs a worker keeps; a full table starts anew.
-UNITS, PAIRS = 800_000, 1_000_000
+UNITS, PAIRS = 400_000, 500_000
 
 
 def _fields(data: bytes):
