@@ -4,7 +4,7 @@ Pages give host-to-host edges, weighted by their links. Trust starts at hosts wi
 rule takes and flows along links (personalised PageRank). Distrust starts at hosts with pages that a
 block rule takes and flows against links: who links to bad hosts is suspect. Seeds weigh as many as
 their pages. A host is blocked if its distrust is over `threshold` times its trust; a host that
-neither reaches is allowed.
+neither reaches is allowed. Both are carried on until they are settled, however long the paths are.
 
 All of it is DataFrame code: edges and seeds are aggregated by key before they are joined, and a host's
 pages meet its verdict in a join that AQE can split.
@@ -20,9 +20,11 @@ from pyspark.sql import functions as F
 from .common import drop_table, materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-DAMPING, ROUNDS, THRESHOLD = 0.85, 12, 1.0
-#: What sums in another order may differ by.
-SLACK = 1e-12
+DAMPING, THRESHOLD = 0.85, 1.0
+#: Ranks are settled once no round adds more than this share to any of them.
+TOLERANCE = 1e-10
+#: The share by which settled ranks may differ from exact ones; ranks this close are equal.
+SLACK = 1e-9
 
 
 @dataclass(frozen=True)
@@ -73,24 +75,30 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.select(F.col("host").alias("src"), dst.alias("dst")).where("dst is not null").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """Personalised PageRank of several kinds at once: (kind, host, rank) from edges (kind, src, dst,
     weight) and seeds (kind, host, mass, which sum to 1 a kind). What a host without links holds goes
-    back to the seeds. A round is one job, whose result is written."""
-    out = edges.groupBy("kind", "src").agg(F.sum("weight").alias("total"))
-    steps = materialize(edges.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("weight") / F.col("total") * damping).alias("share")), "steps")
-    seeds = materialize(seeds, "seeds")
-    rank = seeds.select("kind", "host", F.col("mass").alias("rank"))
-    kept = None
-    for _ in range(rounds):
-        moved = rank.join(steps, ["kind", "host"]).groupBy("kind", F.col("dst").alias("host")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        moving = moved.groupBy("kind").agg(F.sum("got").alias("moving"))
-        back = seeds.join(F.broadcast(moving), "kind", "left").select("kind", "host", (F.col("mass") * (1 - F.coalesce("moving", F.lit(0.0)))).alias("back"))  # a row a kind
-        rank = materialize(moved.join(back, ["kind", "host"], "full").select("kind", "host", (F.coalesce("got", F.lit(0.0)) + F.coalesce("back", F.lit(0.0))).alias("rank")), "rank")
-        if kept is not None:
-            drop_table(kept)
+    back to the seeds; damping is below 1.
+
+    The rank is in proportion to the sum over all paths from the seeds. A round adds the paths of one
+    more link; links of a host to itself are summed in closed form. The rounds end when none adds more
+    than `tolerance` of itself to any rank, so never while hosts are still being reached. A round is
+    one job, whose result is written, and one look at it.
+    """
+    out = edges.groupBy("kind", F.col("src").alias("host")).agg(F.sum("weight").alias("total"), F.sum(F.when(F.col("src") == F.col("dst"), F.col("weight")).otherwise(0.0)).alias("own"))
+    left = F.col("total") - F.col("own") * damping
+    away = edges.where("src <> dst").withColumnRenamed("src", "host")
+    steps = materialize(away.join(out, ["kind", "host"]).select("kind", "host", "dst", (F.col("weight") * damping / left).alias("share")), "steps")
+    kept = materialize(seeds.select("kind", "host", F.col("mass").alias("sum"), F.col("mass").alias("fresh")), "rank")
+    while not kept.where(F.col("fresh") > F.col("sum") * tolerance).isEmpty():
+        moved = kept.where("fresh > 0").join(steps, ["kind", "host"]).groupBy("kind", F.col("dst").alias("host")).agg(F.sum(F.col("fresh") * F.col("share")).alias("got"))
+        got = F.coalesce("got", F.lit(0.0))
+        rank = materialize(kept.drop("fresh").join(moved, ["kind", "host"], "full").select("kind", "host", (F.coalesce("sum", F.lit(0.0)) + got).alias("sum"), got.alias("fresh")), "rank")
+        drop_table(kept)
         kept = rank
-    return rank
+    whole = kept.join(out, ["kind", "host"], "left").select("kind", "host", (F.col("sum") * F.coalesce(F.col("total") / left, F.lit(1.0))).alias("rank"))
+    every = whole.groupBy("kind").agg(F.sum("rank").alias("every"))
+    return whole.join(F.broadcast(every), "kind").select("kind", "host", (F.col("rank") / F.col("every")).alias("rank"))  # a row a kind
 
 
 def seed_mass(pages: DataFrame) -> DataFrame:
@@ -102,17 +110,17 @@ def seed_mass(pages: DataFrame) -> DataFrame:
     return counts.join(F.broadcast(totals), "kind").select("kind", "host", (F.col("n") / F.col("total")).alias("mass"))  # a row a kind
 
 
-def host_verdicts(pages: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, threshold: float = THRESHOLD) -> DataFrame:
+def host_verdicts(pages: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE, threshold: float = THRESHOLD) -> DataFrame:
     """(host, trust, distrust, host_verdict) from pages (host, html, judged)."""
     edges = materialize(host_edges(pages), "edges")
     ways = edges.select(F.lit("trust").alias("kind"), "src", "dst", "weight").union(edges.select(F.lit("distrust"), "dst", "src", "weight"))
-    ranks = spread(ways, seed_mass(pages.select("host", "judged")), damping, rounds)
+    ranks = spread(ways, seed_mass(pages.select("host", "judged")), damping, tolerance)
     of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("rank")).otherwise(0.0)).alias(kind)
     both = ranks.groupBy("host").agg(of("trust"), of("distrust"))
-    return both.withColumn("host_verdict", F.when(F.col("distrust") > F.col("trust") * threshold + SLACK, "block").otherwise("allow"))
+    return both.withColumn("host_verdict", F.when(F.col("distrust") > F.col("trust") * threshold * (1 + SLACK), "block").otherwise("allow"))
 
 
-def judge_urls(pages: DataFrame, rules: list[Rule], damping: float = DAMPING, rounds: int = ROUNDS, threshold: float = THRESHOLD) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: list[Rule], damping: float = DAMPING, tolerance: float = TOLERANCE, threshold: float = THRESHOLD) -> DataFrame:
     """pages (page_id, url, html) -> (page_id, host, path, rule, verdict, trust, distrust), a row for
     each row.
 
@@ -122,6 +130,6 @@ def judge_urls(pages: DataFrame, rules: list[Rule], damping: float = DAMPING, ro
     """
     small = with_host(pages.select("page_id", "url", "html"))
     small = small.withColumn("judged", rule_of(F.col("host"), F.col("path"), rules))
-    hosts = materialize(host_verdicts(small.select("host", "html", "judged"), damping, rounds, threshold), "hosts")
+    hosts = materialize(host_verdicts(small.select("host", "html", "judged"), damping, tolerance, threshold), "hosts")
     out = small.select("page_id", "host", "path", "judged").join(hosts, "host", "left")
     return out.select("page_id", "host", "path", F.col("judged.rule").alias("rule"), F.coalesce("judged.verdict", "host_verdict", F.lit("allow")).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))

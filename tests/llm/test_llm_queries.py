@@ -172,6 +172,34 @@ def test_link_graph(spark):
     assert {r["rule"] for r in got if r["host"] == "bad.example"} == {"bad.example/"}
 
 
+def test_long_chains_of_links(spark):
+    """A chain of 40 hosts that ends at a blocked seed: who links to it at any distance is suspect."""
+    page = lambda k, *to: (k, f"https://h{k}.example/x", " ".join(f'<a href="https://h{t}.example/y">' for t in to))
+    pages = spark.createDataFrame([page(k, k + 1) for k in range(40)] + [page(40)], "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in url_filter.judge_urls(pages, [url_filter.Rule.of("block", "h40.example/")]).collect()}
+    assert {r["verdict"] for r in got.values()} == {"block"} and {r["trust"] for r in got.values()} == {0.0}
+    whole = sum(0.85**k for k in range(41))
+    assert all(got[k]["distrust"] == pytest.approx(0.85 ** (40 - k) / whole, rel=1e-9) for k in range(41))
+
+
+def test_settled_ranks_solve_their_equation(spark):
+    """Cycles, links to oneself and hosts without links, against the power iteration in numpy."""
+    rng = random.Random(5)
+    links = {(a, b): float(rng.randint(1, 9)) for a, b in ((rng.randrange(25), rng.randrange(30)) for _ in range(60))} | {(3, 3): 7.0, (0, 3): 2.0}
+    walk, mass = np.zeros((30, 30)), np.zeros(30)
+    for (a, b), w in links.items():
+        walk[a, b] = w / sum(x for (c, _), x in links.items() if c == a)
+    mass[[0, 3, 29]] = 0.5, 0.25, 0.25
+    rank = mass
+    for _ in range(400):
+        moved = 0.85 * rank @ walk
+        rank = moved + (1 - moved.sum()) * mass
+    edges = spark.createDataFrame([("k", str(a), str(b), w) for (a, b), w in links.items()], "kind string, src string, dst string, weight double")
+    seeds = spark.createDataFrame([("k", str(k), float(m)) for k, m in enumerate(mass) if m], "kind string, host string, mass double")
+    got = {int(r["host"]): r["rank"] for r in url_filter.spread(edges, seeds).collect()}
+    assert set(got) == set(np.flatnonzero(rank)) and all(x == pytest.approx(rank[k], rel=1e-8) for k, x in got.items())
+
+
 @pytest.mark.parametrize(
     "url, host, path, rule",
     [
