@@ -152,16 +152,13 @@ _SIGNS = re.compile(rf"({_DOT})|({_AT}|{_BARE_AT}|{_SPACED_AT})", re.I)
 
 def _spoken(m: re.Match) -> str | None:
     parts = [p.lower() for p in _PART.findall(m.group())]
-    out = "".join("+" if p == "plus" else "." if p in ("dot", "point", "punkt", "punto") else SPELLED.get(p, p) for p in parts)
+    out = "".join("+" if p == "plus" else "." if p in POINTS else SPELLED.get(p, p) for p in parts)
     return out if sum(c.isdigit() for c in out) >= 4 else None
 
 
 def spelled(text: str) -> bool:
-    """Whether two words in a row are spelled digits, or one is and a spelled point follows."""
-    words = text.lower().replace("-", " ").replace(",", " ").split()
-    if SPELLED.keys().isdisjoint(words):
-        return False
-    return any(b in SPELLED or b in POINTS for a, b in zip(words, words[1:]) if a in SPELLED)
+    """Whether the transducer of spelled digits finds anything: it is its own gate."""
+    return SPOKEN.search(text) is not None
 
 
 def disguised(text: str) -> bool:

@@ -166,6 +166,17 @@ def test_personal_data(text, kinds):
     assert pii.written(pii.detect(text)[1]) == kinds
 
 
+@pytest.mark.parametrize(
+    "text, kinds",
+    [
+        ("plus four 9 one 7 two 4 three 5 six 8", "phone:0:37"), ("four 1" + " one 1" * 7, "card:0:48"), ("4 one" + " 1 one" * 7, "card:0:47"), ("(one 0 dot zero dot 0 dot one)", "ip:1:29"),
+        ("(four 1" + "-one-1" * 7 + ")", "card:1:49"), ("one 2 three", ""), ("page one 2 three 4 of it", ""),
+    ],
+)
+def test_spelled_digits_among_digits(text, kinds):
+    assert pii.written(pii.detect(text)[1]) == kinds
+
+
 def test_base_spans_stay():
     text = "j​ohn@example.com 10.0.0.1"
     base, spans = pii.detect(text)
