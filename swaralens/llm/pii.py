@@ -135,17 +135,20 @@ SPOKEN = re.compile(rf"(?:(?<![^\W_])plus[\s-]+)?(?<![^\W_])(?:{_WORD})(?![^\W_]
 POINTS = frozenset(("dot", "point", "punkt", "punto"))
 _PART = re.compile(rf"(?<![^\W_])(?:{_WORD}|plus|dot|point|punkt|punto)(?![^\W_])|[0-9]", re.I)
 #: Disguised addresses: a local part, an at, and a domain whose dots may be disguised as well.
-_AT = r"(?:[-_*~]{1,2}at[-_*~]{1,2}|\s{0,2}[\[({<]\s{0,2}(?:at|@|arroba|ät)\s{0,2}[\])}>]\s{0,2}|\s{0,2}&#(?:64|x40);\s{0,2})"
+_DASHED_AT, _MARKED_AT = r"[-_*~]at[-_*~]", r"(?:[\[({<]\s{0,2}(?:at|@|arroba|ät)\s{0,2}[\])}>]|&#(?:64|x40);)"
+_AT = rf"(?:[-_*~]?{_DASHED_AT}[-_*~]?|\s{{0,2}}{_MARKED_AT}\s{{0,2}})"
 _BARE_AT = r"\s{1,2}(?:at|AT|At|arroba)\s{1,2}"
 _SPACED_AT = r"\s{1,2}@\s{0,2}|\s{0,2}@\s{1,2}"
-_DOT = r"(?:[-_*~]{1,2}dot[-_*~]{1,2}|\s{0,2}[\[({<]\s{0,2}(?:dot|\.|punkt|punto|point)\s{0,2}[\])}>]\s{0,2}|\s{1,2}(?:dot|DOT|Dot|punkt|punto)\s{1,2}|\s{0,2}&#(?:46|x2[eE]);\s{0,2})"
+_SPACED_DOT, _DASHED_DOT, _MARKED_DOT = r"\s(?:dot|punkt|punto)\s", r"[-_*~]dot[-_*~]", r"(?:[\[({<]\s{0,2}(?:dot|\.|punkt|punto|point)\s{0,2}[\])}>]|&#(?:46|x2e);)"
+_DOT = rf"(?:[-_*~]?{_DASHED_DOT}[-_*~]?|\s{{0,2}}{_MARKED_DOT}\s{{0,2}}|\s?{_SPACED_DOT}\s?)"
 _LABEL = r"[A-Za-z0-9-]+"
 # Last labels that make words around a bare "at" an address.
 _TOP = "(?:com|org|net|edu|gov|mil|int|info|biz|name|dev|app|io|ai|co|me|tv|us|uk|ca|au|de|fr|es|it|nl|eu|ch|at|be|pl|se|no|dk|fi|pt|ie|in|cn|jp|kr|ru|br|mx|ar|cl|test|example)(?![A-Za-z0-9])"
 _LOCAL = rf"[A-Za-z0-9_%+-]+(?:(?:\.|{_DOT})[A-Za-z0-9_%+-]+)*"
 #: A bracketed at may stand before plain dots; a bare word "at" or a spaced sign needs a disguised dot.
 ADDRESS = re.compile(rf"(?<![A-Za-z0-9._%+-]){_LOCAL}(?:{_AT}{_LABEL}(?:(?:\.|{_DOT}){_LABEL})+|(?:{_BARE_AT}|{_SPACED_AT}|@){_LABEL}(?:\.{_LABEL})*(?:(?:\.|{_DOT}){_LABEL})*{_DOT}(?:{_LABEL}\.)*{_TOP})", re.I)
-HAS_ADDRESS = re.compile(r"[\[({<]\s{0,2}(?:at|@|dot|\.|arroba|ät|punkt|punto|point)\s{0,2}[\])}>]|[\s_*~-](?:dot|punkt|punto)[\s_*~-]|&#(?:64|x40|46|x2e);", re.I)
+#: The cores of all that ADDRESS and DIGIT_DOT need: one of them is in every match.
+HAS_ADDRESS = re.compile("|".join((_DASHED_AT, _MARKED_AT, _SPACED_DOT, _DASHED_DOT, _MARKED_DOT)), re.I)
 DIGIT_DOT = re.compile(rf"(?<=[0-9]){_DOT}(?=[0-9])", re.I)
 _SIGNS = re.compile(rf"({_DOT})|({_AT}|{_BARE_AT}|{_SPACED_AT})", re.I)
 

@@ -177,6 +177,25 @@ def test_spelled_digits_among_digits(text, kinds):
     assert pii.written(pii.detect(text)[1]) == kinds
 
 
+@pytest.mark.parametrize("sign", ["-at-", "_at_", "*at*", "~at~", "--AT--", "[at]", " ( @ ) ", "{arroba}", " <ät> ", "&#64;", " &#x40; "])
+def test_disguised_at_before_plain_dots(sign):
+    """Whatever else the text holds: each form of at is a reason to read it."""
+    text = f"to john{sign}mail.example.org!"
+    assert pii.written(pii.detect(text)[1]) == f"email:3:{len(text) - 1}"
+
+
+def test_gate_of_addresses_lets_all_pass():
+    """Random texts of pieces of disguises: whatever the address patterns read has passed the gate."""
+    rng, read = random.Random(13), 0
+    pieces_ = ["john", "mail", "com", "10", "at", "AT", "@", "arroba", "ät", "dot", "Dot", "punkt", "punto", "point", ".", "&#64;", "&#x40;", "&#46;", "&#x2E;", *" -_*~[](){}<>"] + [" "] * 4
+    for _ in range(60000):
+        text = "john" + "".join(rng.choice(pieces_) for _ in range(rng.randint(2, 5))) + "mail" + "".join(rng.choice(pieces_) for _ in range(rng.randint(0, 4))) + rng.choice([".com", " dot com", "[.]com"])
+        if pii.ADDRESS.search(text) or pii.DIGIT_DOT.search(text):
+            read += 1
+            assert pii.HAS_ADDRESS.search(text), text
+    assert read > 1000
+
+
 def test_base_spans_stay():
     text = "j​ohn@example.com 10.0.0.1"
     base, spans = pii.detect(text)
