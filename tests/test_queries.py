@@ -29,6 +29,27 @@ def test_query_equals_sql(spark, duck, small, name):
     assert rows(got) == rows(want)
 
 
+def test_character_errors_in_any_script(spark, tmp_path):
+    """Other letters of one script are errors, by a distance in plain Python."""
+
+    def edits(a, b):
+        line = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            before, line = line, [i + 1]
+            for j, y in enumerate(b):
+                line.append(min(before[j] + (x != y), before[j + 1] + 1, line[j] + 1))
+        return line[-1]
+
+    texts = ["नमस्ते दुनिया", "नमस्कार दुनियाँ", "été à Zürich", "ete a Zurich", "घर", "धर", "a😀b", "a😁b\n", "ab"]
+    spark.createDataFrame([(1, k, "user", t) for k, t in enumerate(texts)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    want = {k: round(edits(a, b) / len(a) * 100, 1) for k, (a, b) in enumerate(zip(texts, texts[1:]), 1)}
+    got = {r["turn"]: r["cer"] for r in QUERIES["cer_turns_by_code_point"](spark, str(tmp_path)).collect()}
+    assert got == want and want[5] == 50.0
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    assert {t: c for _, t, c in con.execute(ORACLE_SQL["cer_turns_by_code_point"]).fetchall()} == want
+
+
 def test_entry_points(spark):
     import __spark_entry__ as e
 
