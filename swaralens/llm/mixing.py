@@ -23,20 +23,21 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 BLOCKS, MIX_BLOCKS = 256, 1024
-#: Sources whose totals the driver weighs at most.
+#: Up to so many sources, tables of a row a source and block are broadcast; beyond, they are joined by key.
 SOURCES = 4096
 
 
-def weights(totals: dict[str, int], exponent: float) -> dict[str, float]:
+def weights(totals: dict, exponent: float, counts: dict | None = None) -> dict:
+    """The weight of each source from its total. With counts, a key stands for so many equal sources."""
     top = max(totals.values())
     raw = {s: (n / top) ** exponent for s, n in totals.items()}
-    whole = math.fsum(raw.values())
+    whole = math.fsum(w * (counts[s] if counts else 1) for s, w in raw.items())
     return {s: w / whole for s, w in raw.items()}
 
 
-def entropy(w: dict[str, float]) -> float:
+def entropy(w: dict, counts: dict | None = None) -> float:
     """In nats."""
-    return -math.fsum(x * math.log(x) for x in w.values() if x > 0)
+    return -math.fsum(x * math.log(x) * (counts[s] if counts else 1) for s, x in w.items() if x > 0)
 
 
 def repetition(totals: dict[str, int], w: dict[str, float], budget: float | None) -> float:
@@ -50,7 +51,7 @@ def full_budget(totals: dict[str, int], w: dict[str, float]) -> float:
     return max(n / w[s] for s, n in totals.items())
 
 
-def find_exponent(totals: dict[str, int], target_entropy: float | None = None, max_repeats: float | None = None, budget: float | None = None, steps: int = 60) -> float:
+def find_exponent(totals: dict[str, int], target_entropy: float | None = None, max_repeats: float | None = None, budget: float | None = None, steps: int = 60, counts: dict | None = None) -> float:
     """Bisects [0, 1]. Entropy falls and repetition falls as the exponent rises. A target beyond what
     the interval reaches gives its nearer end."""
     if not totals:
@@ -58,9 +59,9 @@ def find_exponent(totals: dict[str, int], target_entropy: float | None = None, m
     low, high = 0.0, 1.0
 
     def flat_enough(a: float) -> bool:
-        w = weights(totals, a)
+        w = weights(totals, a, counts)
         if target_entropy is not None:
-            return entropy(w) >= target_entropy
+            return entropy(w, counts) >= target_entropy
         return repetition(totals, w, budget) > max_repeats
 
     if target_entropy is None and max_repeats is None:
@@ -81,21 +82,27 @@ def with_tokens(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"n_tokens": F.greatest(F.lit(1), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"\S+"))).cast("long"), "mix_source": F.coalesce("source", F.lit(""))})
 
 
-def source_totals(sized: DataFrame) -> dict[str, int]:
-    rows = sized.groupBy("mix_source").agg(F.sum("n_tokens").alias("n")).limit(SOURCES + 1).collect()
-    if len(rows) > SOURCES:
-        raise ValueError(f"more than {SOURCES} sources")
-    return {r["mix_source"]: int(r["n"]) for r in rows}
+def plan_mix(sized: DataFrame, target_entropy: float | None = None, max_repeats: float | None = None, budget: float | None = None) -> tuple[DataFrame, int]:
+    """(mix_source, weight, budget, total) of each source, and how many there are.
 
+    Sources of one total weigh the same, so the driver weighs the distinct totals: at most the square
+    root of twice the tokens, however many sources there are.
+    """
+    totals = materialize(sized.groupBy("mix_source").agg(F.sum("n_tokens").alias("total")), "totals")
+    counts = {r["total"]: r["n"] for r in totals.groupBy("total").agg(F.count("*").alias("n")).collect()}
+    by_total = []
+    if counts:
+        distinct = {n: n for n in counts}
+        w = weights(distinct, find_exponent(distinct, target_entropy, max_repeats, budget, counts=counts), counts)
+        whole = budget or full_budget(distinct, w)
+        by_total = [(n, w[n], float(w[n] * whole)) for n in distinct]
+    weighed = sized.sparkSession.createDataFrame(by_total, "total long, weight double, budget double")
+    return materialize(totals.join(weighed, "total").select("mix_source", "weight", "budget", "total"), "sources"), sum(counts.values())
 
-def plan_mix(sized: DataFrame, target_entropy: float | None = None, max_repeats: float | None = None, budget: float | None = None) -> tuple[dict[str, int], dict[str, float], dict[str, float]]:
-    """(tokens, weight, budget) of each source."""
-    totals = source_totals(sized)
-    if not totals:
-        return {}, {}, {}
-    w = weights(totals, find_exponent(totals, target_entropy, max_repeats, budget))
-    whole = budget or full_budget(totals, w)
-    return totals, w, {s: w[s] * whole for s in totals}
+
+def small(df: DataFrame, sources: int) -> DataFrame:
+    """A table of source by block, to be broadcast where the sources are few."""
+    return F.broadcast(df) if sources <= SOURCES else df
 
 
 def laid_out(sized: DataFrame, seed: int, blocks: int) -> DataFrame:
@@ -104,21 +111,19 @@ def laid_out(sized: DataFrame, seed: int, blocks: int) -> DataFrame:
     return sized.withColumn("order", order).withColumn("block", F.pmod(F.xxhash64(F.lit(seed + 1), "order"), F.lit(blocks)).cast("int"))
 
 
-def block_plan(laid: DataFrame, totals: dict[str, int], w: dict[str, float], budgets: dict[str, float], seed: int) -> DataFrame:
+def block_plan(laid: DataFrame, sources: DataFrame, count: int, seed: int) -> DataFrame:
     """(mix_source, block, weight, budget, total, before_block, full, last): the tokens of the blocks
     before, the number of whole epochs, and the greatest order that the last, partial epoch takes of
-    the block (null: none). At most blocks x SOURCES rows."""
-    spark = laid.sparkSession
-    sources = spark.createDataFrame([(s, w[s], float(budgets[s]), n) for s, n in totals.items()], "mix_source string, weight double, budget double, total long")
+    the block (null: none). At most blocks x sources rows."""
     per_block = laid.groupBy("mix_source", "block").agg(F.sum("n_tokens").alias("in_block"), F.max("order").alias("top"))
     over = Window.partitionBy("mix_source").orderBy(F.xxhash64(F.lit(seed), "mix_source", "block"), "block").rowsBetween(Window.unboundedPreceding, -1)
-    plan = per_block.withColumn("before_block", F.coalesce(F.sum("in_block").over(over), F.lit(0))).join(F.broadcast(sources), "mix_source")
+    plan = per_block.withColumn("before_block", F.coalesce(F.sum("in_block").over(over), F.lit(0))).join(small(sources, count), "mix_source")
     full = F.floor(F.col("budget") / F.col("total") + 1e-9)
     room = F.col("budget") - full * F.col("total") - F.col("before_block") + 1e-6
     plan = materialize(plan.withColumns({"full": full.cast("int"), "room": room}), "blocks")
     split = plan.where("room > 0 and room < in_block").select("mix_source", "block", "room")
     within = Window.partitionBy("mix_source", "block").orderBy("order").rangeBetween(Window.unboundedPreceding, 0)
-    cuts = laid.join(F.broadcast(split), ["mix_source", "block"]).withColumn("reached", F.sum("n_tokens").over(within)).where("reached <= room").groupBy("mix_source", "block").agg(F.max("order").alias("cut"))
+    cuts = laid.join(small(split, count), ["mix_source", "block"]).withColumn("reached", F.sum("n_tokens").over(within)).where("reached <= room").groupBy("mix_source", "block").agg(F.max("order").alias("cut"))
     return materialize(plan.join(cuts, ["mix_source", "block"], "left").withColumn("last", F.when(F.col("room") >= F.col("in_block"), F.col("top")).otherwise(F.col("cut"))).drop("cut", "top", "room", "in_block"), "plan")
 
 
@@ -139,11 +144,11 @@ def mix(docs: DataFrame, target_entropy: float | None = None, max_repeats: float
     empty table gives an empty result; further columns are ignored.
     """
     sized = materialize(_sized(docs.select(F.col("doc_id").cast("long"), "source", "text")).select("mix_source", "doc_id", "row_hash", "n_tokens"), "sized")
-    totals, w, budgets = plan_mix(sized, target_entropy, max_repeats, budget)
+    sources, count = plan_mix(sized, target_entropy, max_repeats, budget)
     laid = laid_out(sized, seed, blocks)
-    plan = block_plan(laid, totals, w, budgets, seed)
+    plan = block_plan(laid, sources, count, seed)
     inside = Window.partitionBy("mix_source", "block").orderBy("order").rowsBetween(Window.unboundedPreceding, -1)
-    placed = laid.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(F.broadcast(plan), ["mix_source", "block"]).withColumn("epochs", epochs()).where("epochs > 0")
+    placed = laid.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(small(plan, count), ["mix_source", "block"]).withColumn("epochs", epochs()).where("epochs > 0")
     placed = placed.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)))
     position = F.least((F.col("epoch") * F.col("total") + F.col("before_block") + F.col("inside")) / F.col("budget"), F.lit(1.0))
     placed = placed.withColumn("position", position)
@@ -151,16 +156,17 @@ def mix(docs: DataFrame, target_entropy: float | None = None, max_repeats: float
 
 
 def mixed_documents(docs: DataFrame, target_entropy: float | None = None, max_repeats: float | None = 2.0, budget: float | None = None, seed: int = 7, blocks: int = BLOCKS) -> DataFrame:
-    """documents, each row as many times as the mix places it, with their own columns. Texts are never
-    shuffled: a row's copies follow from its hash and the small table of block_plan()."""
+    """documents, each row as many times as the mix places it, with their own columns. A row's
+    copies follow from its hash and the table of block_plan(); texts are not shuffled unless there are
+    more than SOURCES sources."""
     names = docs.columns
     slim = docs.select(*(c for c in ("doc_id", "source", "text") if c in names))
     sized = materialize(_sized(slim).select("mix_source", "doc_id", "row_hash", "n_tokens"), "sized")
-    totals, w, budgets = plan_mix(sized, target_entropy, max_repeats, budget)
-    if not totals:
+    sources, count = plan_mix(sized, target_entropy, max_repeats, budget)
+    if not count:
         return docs
-    plan = block_plan(laid_out(sized, seed, blocks), totals, w, budgets, seed).select("mix_source", "block", "full", "last")
+    plan = block_plan(laid_out(sized, seed, blocks), sources, count, seed).select("mix_source", "block", "full", "last")
     own = docs.select(F.struct(*names).alias("row"))
     keyed = own.select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.xxhash64("row.text").alias("row_hash"), F.coalesce("row.source", F.lit("")).alias("mix_source"))
-    placed = laid_out(keyed, seed, blocks).join(F.broadcast(plan), ["mix_source", "block"]).withColumn("epochs", epochs()).where("epochs > 0")
+    placed = laid_out(keyed, seed, blocks).join(small(plan, count), ["mix_source", "block"]).withColumn("epochs", epochs()).where("epochs > 0")
     return placed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("epochs")))).select("row.*")

@@ -227,6 +227,21 @@ def test_mixing(spark, odd):
     assert mixing.mix(odd.limit(0)).count() == 0 and mixing.mixed_documents(odd.limit(0)).count() == 0
 
 
+def test_more_sources_than_are_broadcast(spark):
+    """Each of 5,000 hosts is a source: all are weighed and placed, as a driver's weights would have it."""
+    rows = [(k, "w " * (1 + k % 50), f"h{k % 5000}") for k in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    totals = Counter()
+    for _, t, source in rows:
+        totals[source] += len(t.split())
+    placed = mixing.mix(docs, max_repeats=2.0).toPandas()
+    w = mixing.weights(totals, mixing.find_exponent(totals, max_repeats=2.0))
+    assert len(totals) == 5000 and set(placed.doc_id) == set(range(6000))
+    assert all(x == pytest.approx(w[s], rel=1e-9) for s, x in zip(placed.source, placed.weight))
+    copies = mixing.mixed_documents(docs, max_repeats=2.0).toPandas()
+    assert Counter(placed.doc_id) == Counter(copies.doc_id)
+
+
 def test_redaction_keeps_columns(spark, odd):
     out = pii.redacted(odd)
     assert out.columns == odd.columns and out.where("text like '%@%'").count() == 0 and out.where("text is null").count() == odd.where("text is null").count()
