@@ -5,14 +5,19 @@ invisible characters go, homoglyphs and digits of other scripts become ASCII, sp
 digits, and at/dot disguises become '@' and '.'. Each rewritten character remembers the source
 characters it stands for, so what is found in the rewritten text is mapped back to source spans.
 Those spans are added to the plain ones, which always stay.
+
+All scans take time in proportion to the text, whatever it holds: patterns enter a run of digits or
+letters at its start only, and addresses are read outwards from their signs.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,9 +25,11 @@ from pyspark.sql import functions as F
 from .common import texts_of
 
 KINDS = ("email", "ip", "card", "phone")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+#: Runs of digits are entered at their start only: no match begins within one.
+IP = re.compile(r"[0-9](?<![0-9][0-9])[0-9]*+(?:\.[0-9]++){3}")
+CARD = re.compile(r"[0-9]++(?:[\x20-][0-9]++)*+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 # Spelled digits in the languages of the corpus, invisible characters and letters of
@@ -51,14 +58,17 @@ def _luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def plain(text: str) -> list[tuple[int, int, int]]:
-    """(start, end, kind) of identifiers as they stand, by start, then kind. Matches that fail their
-    check are dropped; the search goes on behind them."""
+def _byte(digits: str) -> bool:
+    """Whether a run of digits, however long, is at most 255."""
+    short = digits.lstrip("0")
+    return len(short) < 3 or len(short) == 3 and short <= "255"
+
+
+def _numbers(text: str) -> list[tuple[int, int, int]]:
+    """Plain addresses of machines, cards and phone numbers."""
     found = []
-    if "@" in text:
-        found += [(m.start(), m.end(), 0) for m in EMAIL.finditer(text)]
     for m in IP.finditer(text):
-        if all(int(p) <= 255 for p in m.group().split(".")):
+        if all(map(_byte, m.group().split("."))):
             found.append((m.start(), m.end(), 1))
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 12:
@@ -69,7 +79,30 @@ def plain(text: str) -> list[tuple[int, int, int]]:
         for m in PHONE.finditer(text):
             if 9 <= sum(c.isdigit() for c in m.group()) <= 15:
                 found.append((m.start(), m.end(), 3))
-    return sorted(found, key=lambda s: (s[0], s[2]))
+    return found
+
+
+def _emails(text: str) -> list[tuple[int, int, int]]:
+    """From each '@' the local part reaches left to the first other character or the last match."""
+    found = []
+    free, at = 0, text.find("@")
+    while at >= 0:
+        if at > free:
+            part = text[free:at]
+            size = at - free - len(part.rstrip(LOCAL))
+            m = size and DOMAIN.match(text, at + 1)
+            if m:
+                found.append((at - size, m.end(), 0))
+                free = m.end()
+        free = max(free, at + 1)
+        at = text.find("@", free)
+    return found
+
+
+def plain(text: str) -> list[tuple[int, int, int]]:
+    """(start, end, kind) of identifiers as they stand, by start, then kind. Matches that fail their
+    check are dropped; the search goes on behind them."""
+    return sorted(_emails(text) + _numbers(text), key=lambda s: (s[0], s[2]))
 
 
 class Mapped:
@@ -77,41 +110,56 @@ class Mapped:
 
     def __init__(self, text: str) -> None:
         self.text = text
-        self.starts = list(range(len(text)))
-        self.ends = list(range(1, len(text) + 1))
-        #: Whether a character differs from the source's.
-        self.changed = bytearray(len(text))
-
-    def rewrite(self, pattern: re.Pattern, target) -> None:
-        """Replaces matches by target(match), or leaves them where that is None. A replacement's
-        characters all stand for the whole match."""
+        self.starts = np.arange(len(text), dtype=np.int32)
+        self.ends = self.starts + 1
+        #: Zero for a character of the source, else what has been made of it.
+        self.made = np.zeros(len(text), np.int8)
+
+    def rewrite(self, pattern: re.Pattern, target) -> Mapped:
+        """Replaces matches by what target(match) gives: (text, made). A replacement's characters all
+        stand for the whole match."""
         text: list[str] = []
-        starts: list[int] = []
-        ends: list[int] = []
-        changed = bytearray()
+        starts, ends, made = [], [], []
         at = 0
 
         def keep(a: int, b: int) -> None:
             text.append(self.text[a:b])
-            starts.extend(self.starts[a:b])
-            ends.extend(self.ends[a:b])
-            changed.extend(self.changed[a:b])
+            starts.append(self.starts[a:b])
+            ends.append(self.ends[a:b])
+            made.append(self.made[a:b])
 
         for m in pattern.finditer(self.text):
-            new = target(m)
-            if new is None:
-                continue
+            new, what = target(m)
             keep(at, m.start())
             text.append(new)
-            starts.extend([self.starts[m.start()]] * len(new))
-            ends.extend([self.ends[m.end() - 1]] * len(new))
-            changed.extend(b"\1" * len(new))
+            starts.append(np.full(len(new), self.starts[m.start()]))
+            ends.append(np.full(len(new), self.ends[m.end() - 1]))
+            made.append(np.full(len(new), what, np.int8))
             at = m.end()
+        if not at:
+            return self
         keep(at, len(self.text))
-        self.text, self.starts, self.ends, self.changed = "".join(text), starts, ends, changed
+        out = Mapped("")
+        out.text, out.starts, out.ends, out.made = "".join(text), np.concatenate(starts), np.concatenate(ends), np.concatenate(made)
+        return out
+
+    def translated(self) -> Mapped:
+        """Look-alikes become what they stand for, invisible characters go."""
+        codes = np.frombuffer(self.text.encode("utf-32-le"), "<u4")
+        values, inverse = np.unique(codes, return_inverse=True)
+        new = np.array([_stands_for(chr(c)) for c in values], np.uint32)[inverse]
+        stay = new != GONE
+        out = Mapped("")
+        out.text = new[stay].astype("<u4").tobytes().decode("utf-32-le")
+        out.starts, out.ends, out.made = self.starts[stay], self.ends[stay], (new != codes)[stay].astype(np.int8) * OTHER
+        return out
 
     def source(self, start: int, end: int) -> tuple[int, int]:
-        return min(self.starts[start:end]), max(self.ends[start:end])
+        return int(self.starts[start:end].min()), int(self.ends[start:end].max())
+
+    def stands(self, start: int, end: int) -> bool:
+        """Whether a span stands in the source as it is."""
+        return not self.made[start:end].any() and int(self.ends[end - 1] - self.starts[start]) == end - start
 
 
 def _ascii_of(c: str) -> str | None:
@@ -126,88 +174,153 @@ def _ascii_of(c: str) -> str | None:
     return wide if len(wide) == 1 and wide.isascii() and wide.isprintable() else None
 
 
+#: Stands for no character in an array of code points.
+GONE = 0xFFFFFFFF
+
+
+def _stands_for(c: str) -> int:
+    new = _ascii_of(c) if STRANGE.match(c) else None
+    return ord(c) if new is None else ord(new) if new else GONE
+
+
 #: Characters that can be look-alikes at all: not the accented letters of European languages.
 STRANGE = re.compile("[ ­ıɑɡ͏Ͱ-ϿЀ-ԯ؜٠-٩۰-۹߀-߉०-෿๐-๙၀-၉᠎ -⁯①-⒛　-。︀-﹯﻿-￯\U0001d400-\U0001d7ff]")
 _WORD = "|".join(sorted(SPELLED, key=len, reverse=True))
+_POINT = "dot|point|punkt|punto"
 _DIGIT = rf"(?:(?<![^\W_])(?:{_WORD})(?![^\W_])|[0-9])"
-#: Spelled digits in a row, with single digits among them; a word "plus" may lead.
-SPOKEN = re.compile(rf"(?:(?<![^\W_])plus[\s-]+)?(?<![^\W_])(?:{_WORD})(?![^\W_])(?:[\s,-]{{1,2}}(?:(?:(?<![^\W_])(?:dot|point|punkt|punto)(?![^\W_])[\s,-]{{1,2}})?{_DIGIT}))+(?![^\W_])", re.I)
-POINTS = frozenset(("dot", "point", "punkt", "punto"))
-_PART = re.compile(rf"(?<![^\W_])(?:{_WORD}|plus|dot|point|punkt|punto)(?![^\W_])|[0-9]", re.I)
-#: Disguised addresses: a local part, an at, and a domain whose dots may be disguised as well.
+#: Four or more digits in a row, the first one spelled; a word "plus" may lead.
+SPOKEN = re.compile(rf"(?:(?<![^\W_])plus[\s-]{{1,2}})?(?<![^\W_])(?:{_WORD})(?![^\W_])(?:[\s,-]{{1,2}}(?:(?<![^\W_])(?:{_POINT})(?![^\W_])[\s,-]{{1,2}})?{_DIGIT}){{3,}}(?![^\W_])", re.I)
+POINTS = frozenset(_POINT.split("|"))
+_PART = re.compile(rf"(?<![^\W_])(?:{_WORD}|plus|{_POINT})(?![^\W_])|[0-9]", re.I)
+#: Signs of an address: marked or dashed ones, and bare words or spaced signs, which need more proof.
 _DASHED_AT, _MARKED_AT = r"[-_*~]at[-_*~]", r"(?:[\[({<]\s{0,2}(?:at|@|arroba|ät)\s{0,2}[\])}>]|&#(?:64|x40);)"
 _AT = rf"(?:[-_*~]?{_DASHED_AT}[-_*~]?|\s{{0,2}}{_MARKED_AT}\s{{0,2}})"
-_BARE_AT = r"\s{1,2}(?:at|AT|At|arroba)\s{1,2}"
-_SPACED_AT = r"\s{1,2}@\s{0,2}|\s{0,2}@\s{1,2}"
+_BARE_AT = r"\s{1,2}(?:at|arroba)\s{1,2}|\s{1,2}@\s{0,2}|\s{0,2}@\s{1,2}"
 _SPACED_DOT, _DASHED_DOT, _MARKED_DOT = r"\s(?:dot|punkt|punto)\s", r"[-_*~]dot[-_*~]", r"(?:[\[({<]\s{0,2}(?:dot|\.|punkt|punto|point)\s{0,2}[\])}>]|&#(?:46|x2e);)"
 _DOT = rf"(?:[-_*~]?{_DASHED_DOT}[-_*~]?|\s{{0,2}}{_MARKED_DOT}\s{{0,2}}|\s?{_SPACED_DOT}\s?)"
-_LABEL = r"[A-Za-z0-9-]+"
 # Last labels that make words around a bare "at" an address.
-_TOP = "(?:com|org|net|edu|gov|mil|int|info|biz|name|dev|app|io|ai|co|me|tv|us|uk|ca|au|de|fr|es|it|nl|eu|ch|at|be|pl|se|no|dk|fi|pt|ie|in|cn|jp|kr|ru|br|mx|ar|cl|test|example)(?![A-Za-z0-9])"
-_LOCAL = rf"[A-Za-z0-9_%+-]+(?:(?:\.|{_DOT})[A-Za-z0-9_%+-]+)*"
-#: A bracketed at may stand before plain dots; a bare word "at" or a spaced sign needs a disguised dot.
-ADDRESS = re.compile(rf"(?<![A-Za-z0-9._%+-]){_LOCAL}(?:{_AT}{_LABEL}(?:(?:\.|{_DOT}){_LABEL})+|(?:{_BARE_AT}|{_SPACED_AT}|@){_LABEL}(?:\.{_LABEL})*(?:(?:\.|{_DOT}){_LABEL})*{_DOT}(?:{_LABEL}\.)*{_TOP})", re.I)
-#: The cores of all that ADDRESS and DIGIT_DOT need: one of them is in every match.
-HAS_ADDRESS = re.compile("|".join((_DASHED_AT, _MARKED_AT, _SPACED_DOT, _DASHED_DOT, _MARKED_DOT)), re.I)
+TOP = frozenset((
+    "com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "name", "dev", "app", "io", "ai", "co", "me", "tv", "us", "uk", "ca", "au", "de", "fr", "es", "it", "nl",
+    "eu", "ch", "at", "be", "pl", "se", "no", "dk", "fi", "pt", "ie", "in", "cn", "jp", "kr", "ru", "br", "mx", "ar", "cl", "test", "example",
+))
 DIGIT_DOT = re.compile(rf"(?<=[0-9]){_DOT}(?=[0-9])", re.I)
-_SIGNS = re.compile(rf"({_DOT})|({_AT}|{_BARE_AT}|{_SPACED_AT})", re.I)
+SIGNS = re.compile(rf"({_DOT})|({_AT})|(?:{_BARE_AT})", re.I)
+#: What a character has been made of: a look-alike or spelled digit, a dot, a sure at, a bare at.
+OTHER, DOT, AT, BARE = 1, 2, 3, 4
 
 
-def _spoken(m: re.Match) -> str | None:
-    parts = [p.lower() for p in _PART.findall(m.group())]
-    out = "".join("+" if p == "plus" else "." if p in POINTS else SPELLED.get(p, p) for p in parts)
-    return out if sum(c.isdigit() for c in out) >= 4 else None
+def _starting(words) -> str:
+    """An alternation by first letters, which a search can skip to; words begin and end at a boundary."""
+    by: dict[str, list[str]] = {}
+    for w in sorted(words, key=len, reverse=True):
+        by.setdefault(w[0], []).append(w[1:])
+    return "|".join(rf"{c}(?<![^\W_]{c})(?:{'|'.join(rest)})(?![^\W_])" for c, rest in sorted(by.items()))
 
 
-def spelled(text: str) -> bool:
-    """Whether the transducer of spelled digits finds anything: it is its own gate."""
-    return SPOKEN.search(text) is not None
+#: What must be in a lower-cased text for a transducer to find anything: a spelled digit before
+#: another or a digit, a dot or an at in disguise. Each lets more pass than its transducer takes.
+HAS_SPOKEN = re.compile(rf"(?:{_starting(SPELLED)})[\s,-]{{1,2}}(?:[0-9]|{_starting(list(SPELLED) + list(POINTS))})")
+MARKED = re.compile(r"[\[({<]\s{0,2}(?:at|@|arroba|ät|dot|\.|punkt|punto|point)\s{0,2}[\])}>]")
+ENTITY = re.compile(r"&#(?:64|x40|46|x2e);")
+DASHED = re.compile(r"[-_*~](?:at|dot)[-_*~]")
+SPACED = re.compile(r"\s(?:dot|punkt|punto)\s")
+
+
+def has_sign(low: str) -> bool:
+    if DASHED.search(low) or MARKED.search(low) or "&#" in low and ENTITY.search(low):
+        return True
+    return ("dot" in low or "punkt" in low or "punto" in low) and SPACED.search(low) is not None
 
 
 def disguised(text: str) -> bool:
     """Whether any transducer could change the text."""
-    strange = not text.isascii() and STRANGE.search(text)
-    return bool(strange or HAS_ADDRESS.search(text) or spelled(text))
+    plain_ascii = text.isascii()
+    low = text.lower() if plain_ascii else text.casefold()
+    return bool(not plain_ascii and STRANGE.search(text) or has_sign(low) or HAS_SPOKEN.search(low))
+
+
+def _spoken(m: re.Match) -> tuple[str, int]:
+    parts = [p.lower() for p in _PART.findall(m.group())]
+    return "".join("+" if p == "plus" else "." if p in POINTS else SPELLED.get(p, p) for p in parts), OTHER
+
+
+def _sign(m: re.Match) -> tuple[str, int]:
+    return (".", DOT) if m.group(1) else ("@", AT if m.group(2) else BARE)
 
 
 def normalised(text: str) -> Mapped:
+    """The text without homoglyphs, spelled digits and disguised dots between digits."""
     mapped = Mapped(text)
     if not text.isascii():
-        mapped.rewrite(STRANGE, lambda m: _ascii_of(m.group()))
-    mapped.rewrite(SPOKEN, _spoken)
-    if HAS_ADDRESS.search(mapped.text):
-        mapped.rewrite(DIGIT_DOT, lambda m: ".")
-        # Only the signs within an address are rewritten: its names keep their own mapping.
-        spans = [m.span() for m in ADDRESS.finditer(mapped.text)]
-        inside = iter(spans)
-        now = next(inside, None)
-
-        def sign(m: re.Match) -> str | None:
-            nonlocal now
-            while now and now[1] <= m.start():
-                now = next(inside, None)
-            if not now or m.start() < now[0] or m.end() > now[1]:
-                return None
-            return "." if m.group(1) else "@"
-
-        mapped.rewrite(_SIGNS, sign)
-    return mapped
+        mapped = mapped.translated()
+    mapped = mapped.rewrite(SPOKEN, _spoken)
+    return mapped.rewrite(DIGIT_DOT, lambda m: (".", DOT))
+
+
+def addresses(signed: Mapped) -> list[tuple[int, int, int]]:
+    """Addresses of a text whose signs of addresses have all been rewritten, whether they are of one or not.
+
+    Each '@' is read outwards. A sure one takes whatever looks like an address around it. One that
+    stood as it is takes plain dots, and disguised ones where a known last label follows them; a bare
+    one needs both."""
+    text, made = signed.text, signed.made
+    found = []
+    free, at = 0, text.find("@")
+    while at >= 0:
+        part = text[free:at]
+        begin = free + len(part.rstrip(LOCAL))
+        m = DOMAIN.match(text, at + 1) if begin < at else None
+        end = 0
+        if m:
+            end = m.end()
+            hidden = np.flatnonzero(made[at + 1 : end] == DOT)
+            if made[at] != AT and len(hidden):
+                end = _known_end(text, at + 1, end, at + 1 + int(hidden[0]))
+                hidden = hidden[hidden < end - at - 1]
+            if made[at] == BARE and not len(hidden):
+                end = 0
+            if made[at] not in (AT, BARE) and not len(hidden):  # what leads by a disguised dot is no part of it
+                dots = np.flatnonzero(made[begin:at] == DOT)
+                begin += int(dots[-1]) + 1 if len(dots) else 0
+            while begin < at and made[begin] == DOT:
+                begin += 1
+        if end and begin < at:
+            found.append((begin, end, 0))
+        free = max(end, at + 1)
+        at = text.find("@", free)
+    return found
+
+
+def _known_end(text: str, start: int, end: int, hidden: int) -> int:
+    """Where a domain ends: behind its last known last label that follows the first disguised dot,
+    else before that dot if a plain one stands before it (zero: nowhere)."""
+    while True:
+        dot = text.rfind(".", start, end)
+        if dot < hidden:
+            return hidden if "." in text[start:hidden] else 0
+        if text[dot + 1 : end].lower() in TOP:
+            return end
+        end = dot
 
 
 def detect(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(plain spans, all spans), each (start, end, kind) by start, then kind. A disguised span within
-    a plain one is not added."""
+    a plain one of its kind is not added."""
     base = plain(text)
     if not disguised(text):
         return base, base
     mapped = normalised(text)
+    signed = mapped.rewrite(SIGNS, _sign)
     added = set()
-    for start, end, kind in plain(mapped.text):
-        if not any(mapped.changed[start:end]) and mapped.ends[end - 1] - mapped.starts[start] == end - start:
-            continue  # as it stands in the source
-        a, b = mapped.source(start, end)
-        if not any(x <= a and b <= y for x, y, _ in base):
-            added.add((a, b, kind))
+    held = [[s for s in base if s[2] == kind] for kind in range(len(KINDS))]
+    for view, spans in ((mapped, _numbers(mapped.text)), (signed, addresses(signed))):
+        for start, end, kind in spans:
+            if view.stands(start, end):
+                continue
+            a, b = view.source(start, end)
+            before = bisect.bisect_right(held[kind], a, key=lambda s: s[0])
+            if not before or held[kind][before - 1][1] < b:
+                added.add((a, b, kind))
     return base, sorted({*base, *added}, key=lambda s: (s[0], s[2], s[1]))
 
 
@@ -232,8 +345,8 @@ def personal_data(docs: DataFrame) -> DataFrame:
     each row.
 
     Counts and base_sha256 are those of the plain spans, spans holds all of them, n_added how many
-    the transducers add. Offsets are code points, the end exclusive. A null text counts as empty; ids
-    and rows may be null or repeat; an empty table gives an empty result; further columns are ignored.
+    the transducers add. Offsets are code points, the end exclusive. A null text counts as empty; texts
+    and runs of digits may be of any length; ids and rows may be null or repeat; an empty table gives an empty result; further columns are ignored.
     """
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
     names = [c.split()[0] for c in schema.split(", ")]
