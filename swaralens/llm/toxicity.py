@@ -4,7 +4,7 @@ Features of a text (all densities are per word or per character): words of a tox
 stand and behind obfuscation; lexicon words with a second-person word near them; capitals,
 punctuation, exclamation marks and obfuscated words. The lexicon is a short fixed list plus words
 that the training rows show to be toxic. Trees are fitted on histograms with logistic loss; scores
-are calibrated on out-of-fold predictions.
+are calibrated on out-of-fold predictions: a fold's words and trees come from the other folds only.
 
 Training reads at most `sample` labelled rows, those with the smallest hash of their doc_id, so what
 the driver gathers is bounded by that parameter. Everything else is one pass over the documents.
@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import crc_mod3, materialize, texts_of
@@ -36,16 +36,23 @@ SECOND = frozenset(w.encode() for w in ("you", "your", "yours", "yourself", "ur"
 LEET = bytes.maketrans(b"013457@$!|", b"oieastasil")
 #: Letters, digits and bytes of longer UTF-8 characters stay; other ASCII parts words.
 PARTED = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
+#: Blanks and punctuation beyond ASCII.
+STOPS = re.compile("[\u00a0-\u00bf\u1680\u2000-\u206f\u2e00-\u2e7f\u3000-\u303f\uff01-\uff0f\uff1a-\uff20\ufeff]")
 IS_PUNCT = np.array([33 <= b < 127 and not chr(b).isalnum() for b in range(256)])
 MASKED = re.compile(rb"(?<![^\s])[A-Za-z]+[0-9@$!|*][A-Za-z0-9@$!|*]*[A-Za-z](?![A-Za-z])")
 CAPS = re.compile(rb"[A-Z]{3,}(?:[^A-Za-z]+[A-Z]{2,})*")
 NEAR = 6
 
 
+def words_of(text: str) -> list[bytes]:
+    """The words of a text, for learning and scoring alike."""
+    return (text if text.isascii() else STOPS.sub(" ", text)).lower().encode().translate(PARTED).split()
+
+
 def text_features(text: str, lexicon: frozenset[bytes], learned: frozenset[bytes]) -> list[float]:
     """FEATURES of a whole text; an empty one has zeros."""
     raw = text.encode()
-    words = text.lower().encode().translate(PARTED).split()
+    words = words_of(text)
     n = max(1, len(words))
     size = max(1, len(raw))
     hits = near = 0
@@ -168,50 +175,69 @@ class Model:
         return np.interp(self.trees.margin(x), *self.knots)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """(text, toxic) of the training rows: labels whose crc32(doc_id as text) mod 3 is not 1. A
-    doc_id that is labelled more than once is toxic if one of its labels is; null labels are left out."""
-    once = labels.where("doc_id is not null and toxic is not null").where(crc_mod3(F.col("doc_id")) != 1).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+def labelled(docs: DataFrame, labels: DataFrame, sample: int, folds: int) -> DataFrame:
+    """(doc_id, text, toxic, fold) of the training rows: labels whose crc32(doc_id as text) mod 3 is
+    not 1. A doc_id that is labelled more than once is toxic if one of its labels is; null labels are
+    left out. Equal texts share a fold."""
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
+    once = marks.where(crc_mod3(F.col("doc_id")) != 1).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = once.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    return docs.join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return texts.join(F.broadcast(chosen), "doc_id").withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(folds)).cast("int"))  # at most `sample` rows are broadcast
+
+
+def _contexts(batches):
+    """The distinct (word, word before) of each row, with its label and fold."""
+    for batch in batches:
+        for text, toxic, fold in zip(texts_of(batch), batch.column("toxic").to_pylist(), batch.column("fold").to_pylist()):
+            words = words_of(text)
+            pairs = {(w, v) for v, w in zip(words, words[1:]) if len(w) > 2}
+            if pairs:
+                word, before = zip(*pairs)
+                yield pa.RecordBatch.from_arrays([pa.array(word, pa.binary()), pa.array(before, pa.binary()), pa.array([toxic] * len(pairs), pa.int32()), pa.array([fold] * len(pairs), pa.int32())], names=["word", "before", "toxic", "fold"])
 
 
-def learned_words(rows: DataFrame, most: int = 200) -> frozenset[bytes]:
+def learned_words(rows: DataFrame, folds: int, most: int = 200) -> list[frozenset[bytes]]:
     """Words that training rows show to be toxic, by the words they follow: at least ten different
     ones, of which most occur in toxic rows only. Copies of a toxic text repeat its contexts, so they
-    do not make its ordinary words toxic."""
-    words = rows.select("toxic", F.split(F.lower("text"), r"[^\p{L}\p{N}]+").alias("w"))
-    pairs = words.select("toxic", F.explode(F.arrays_zip(F.slice("w", 1, F.size("w") - 1).alias("before"), F.slice("w", 2, F.size("w")).alias("word"))).alias("p")).select("toxic", "p.*").where("length(word) > 2")
-    contexts = pairs.groupBy("word", "before").agg(F.min("toxic").alias("bad"))
-    counts = contexts.groupBy("word").agg(F.sum("bad").alias("bad"), F.count("*").alias("n")).where("bad >= 10 and bad >= 0.6 * n")
-    top = counts.orderBy(F.desc(F.col("bad") / F.col("n")), F.desc("n"), "word").limit(most)
-    return frozenset(r["word"].encode() for r in top.collect())
+    do not make its ordinary words toxic. The first set is that of all rows, then comes one for each
+    fold, of the rows of the others. At most (folds + 1) x most words reach the driver."""
+    pairs = rows.select("text", "toxic", "fold").mapInArrow(_contexts, "word binary, before binary, toxic int, fold int")
+    parts = range(-1, folds)  # -1: no fold is left out
+    contexts = pairs.groupBy("word", "before").agg(*(F.min(F.when(F.col("fold") != k, F.col("toxic"))).alias(f"bad{k + 1}") for k in parts))
+    by_word = contexts.groupBy("word").agg(*(F.struct(F.sum(f"bad{k + 1}").alias("bad"), F.count(f"bad{k + 1}").alias("n")).alias(f"of{k + 1}") for k in parts))
+    each = by_word.select("word", F.posexplode(F.array(*(f"of{k + 1}" for k in parts))).alias("part", "of")).select("part", "word", "of.bad", "of.n").where("bad >= 10 and bad >= 0.6 * n")
+    turn = Window.partitionBy("part").orderBy(F.desc(F.col("bad") / F.col("n")), F.desc("n"), "word")
+    top = each.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= most).select("part", "word").collect()
+    return [frozenset(bytes(r["word"]) for r in top if r["part"] == k) for k in range(folds + 1)]
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = 4) -> Model:
     """Fits on at most `sample` labelled rows. Without labels of both kinds, every score is the share
     of toxic ones (0 if there are none)."""
-    rows = materialize(labelled(docs, labels, sample), "labelled")
-    learned = learned_words(rows)
-    base = Model(learned, None, None)
+    rows = materialize(labelled(docs, labels, sample, folds), "labelled")
+    learned = learned_words(rows, folds)
+    base = Model(learned[0], None, None)
 
     def run(batches):
         for batch in batches:
-            x = [text_features(t, base.lexicon, learned) for t in texts_of(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "toxic", "x"])
+            x = [[f for words in learned for f in text_features(t, base.lexicon, words)] for t in texts_of(batch)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "toxic", "fold")), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "toxic", "fold", "x"])
 
-    got = rows.mapInArrow(run, "doc_id long, toxic int, x array<double>").orderBy("doc_id").toArrow()
-    y = got["toxic"].to_numpy().astype(float)
+    got = rows.mapInArrow(run, "doc_id long, toxic int, fold int, x array<double>").orderBy("doc_id", "fold", "x").toArrow()
+    y = (got["toxic"].to_numpy() > 0).astype(float)
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         flat = Trees(0.0, np.zeros((0, 7), int), np.zeros((0, 7)), np.zeros((0, 8)))
-        return Model(learned, flat, (np.array([0.0]), np.array([share])))
-    x = np.array(got["x"].to_pylist())
-    fold = np.arange(len(y)) % folds
+        return Model(learned[0], flat, (np.array([0.0]), np.array([share])))
+    x = np.array(got["x"].to_pylist()).reshape(len(y), folds + 1, len(FEATURES))
+    fold = got["fold"].to_numpy()
     apart = np.empty(len(y))
     for k in range(folds):
-        apart[fold == k] = boost(x[fold != k], y[fold != k]).margin(x[fold == k])
-    return Model(learned, boost(x, y), isotonic(apart, y))
+        if (fold == k).any():
+            own = x[:, k + 1]
+            apart[fold == k] = boost(own[fold != k], y[fold != k]).margin(own[fold == k]) if (fold != k).any() else 0.0
+    return Model(learned[0], boost(x[:, 0], y), isotonic(apart, y))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
@@ -229,8 +255,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, cut: float = CUT, sample: int =
     """documents -> (doc_id, held_out, score, predicted), a row for each row.
 
     predicted is 1 where the score reaches cut. Labels, lang, source and doc_id are never inputs of a
-    score. Null ids count as not held out; repeated rows get equal scores; an empty table gives an
-    empty result; further columns are ignored.
+    score. doc_id and toxic may be of any integer type. Null ids count as not held out; repeated rows
+    get equal scores; an empty table gives an empty result; further columns, whatever their names, are
+    ignored.
     """
     return scored(docs, fit(docs, labels, sample)).withColumn("predicted", (F.col("score") >= cut).cast("int"))
 
@@ -238,11 +265,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, cut: float = CUT, sample: int =
 def without_toxic(docs: DataFrame, labels: DataFrame, cut: float = CUT, sample: int = SAMPLE) -> DataFrame:
     """documents whose score stays below cut, with their own columns."""
     model = fit(docs, labels, sample)
-    names = docs.columns
+    at = docs.columns.index("text")
 
     def run(batches):
         for batch in batches:
-            at = names.index("text")
             keep = model.score([t or "" for t in batch.column(at).to_pylist()]) < cut
             yield batch.filter(pa.array(keep, pa.bool_()))
 

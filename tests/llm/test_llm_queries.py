@@ -13,7 +13,9 @@ from swaralens.llm.queries import QUERIES, RULES, tokenizer_path
 
 from .test_llm_pure import components_of, naive_fingerprint
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, rule string, score double"
+#: Further columns have the names that operators use within.
+MORE = ("rule", "score", "toxic", "held_out", "fp", "ids", "body", "chunk", "row_hash", "order", "block", "epochs", "n_tokens", "mix_source", "component_id", "n")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in MORE)
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +23,7 @@ def odd(spark):
     """Nulls in every column, empty and long texts, repeated rows, ties and clashing extra columns."""
     rng = random.Random(1)
     words = ["the", "idiot", "you", "are", "a", "b" * 60, "x@y.example.com", "été", "\n", ""]
-    rows = [(rng.choice([None, *range(20)]), rng.choice([None, "", *[" ".join(rng.choice(words) for _ in range(rng.randint(0, 50))) for _ in range(8)], "long " * 20000]), None, rng.choice([None, "s1", "s2"]), None, "r", 1.0) for _ in range(50)]
+    rows = [(rng.choice([None, *range(20)]), rng.choice([None, "", *[" ".join(rng.choice(words) for _ in range(rng.randint(0, 50))) for _ in range(8)], "long " * 20000]), None, rng.choice([None, "s1", "s2"]), None, *MORE) for _ in range(50)]
     return spark.createDataFrame(rows + rows[:5], DOCS).repartition(3)
 
 
@@ -159,6 +161,18 @@ def test_toxicity_of_odd_rows(spark, odd, labels):
     assert len(got) == odd.count() and all(0 <= r["score"] <= 1 for r in got)
     assert toxicity.toxicity(odd, labels.limit(0)).agg({"score": "max"}).first()[0] == 0.0
     assert toxicity.without_toxic(odd, labels).columns == odd.columns
+    other = toxicity.toxicity(odd.selectExpr("cast(doc_id as int) doc_id", "text", "'x' as toxic"), labels.selectExpr("cast(doc_id as int) doc_id", "cast(toxic as bigint) toxic"))
+    assert Counter(map(tuple, other.collect())) == Counter(map(tuple, got))
+
+
+def test_words_beside_punctuation_beyond_ascii():
+    assert toxicity.words_of("»Idiot«… été—dumm “x”") == [w.encode() for w in ("idiot", "été", "dumm", "x")]
+
+
+def test_learned_words_are_those_of_other_folds(spark):
+    rows = spark.createDataFrame([(f"w{k} zorg w{k} {'zorg' if k < 15 else 'blarg'}", 1, k % 2) for k in range(30)] + [(f"w{k} fine", 0, k % 2) for k in range(30)], "text string, toxic int, fold int")
+    whole, first, second = toxicity.learned_words(rows, 2)
+    assert whole == {b"zorg", b"blarg"} and first == second == {b"zorg"}
 
 
 def test_link_graph(spark):
