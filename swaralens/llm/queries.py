@@ -65,4 +65,19 @@ def op10_sentencepiece(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_toxicity, op3_url_filters, op4_token_counts, op5_suffix_array_dedup, op6_pii, op7_ogg, op8_exact_top_k, op9_source_mixing, op10_sentencepiece)}
-ORACLE_SQL: dict[str, str] = {}
+
+#: Both read `embeddings` and `pages` whole. On these pages links stay within their host, so trust and
+#: distrust stay where they start and a host's verdict follows from its share of the seeds.
+ORACLE_SQL: dict[str, str] = {
+    "op8_exact_top_k": """
+WITH sound AS (
+    SELECT row_number() OVER () AS no, CAST(vec_id AS BIGINT) AS vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS terms
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+    SELECT q.no, q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.terms, c.terms), lambda p: coalesce(p[1], 0) * coalesce(p[2], 0))) AS BIGINT) AS score
+    FROM sound q JOIN sound c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY no ORDER BY score DESC, vec_id) AS rank FROM scores)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+""",
+}

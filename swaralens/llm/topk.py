@@ -1,46 +1,79 @@
 """Exact top-k inner products by exhaustive term-at-a-time accumulation.
 
-Components are terms and vectors are rows. Candidates are turned into postings a block at a time: for
-each term the positions and weights of the vectors that hold it. Each query walks its own non-zero
-terms, scatters weight times posting into a dense score array of the block, and takes its best
-scores by partition selection. A task keeps k rows a query while it reads its blocks; the tasks'
-rows are then merged by a window.
-
-Queries are sent to the tasks in groups of at most GROUP vectors, whose size is therefore bounded by a
-parameter; more queries mean more passes over the candidates, which is what an exhaustive search
-costs.
+Components are terms and vectors are rows. Queries and candidates are packed into blocks of bounded
+size, which are dealt to the cells of a grid: a cell meets one group of queries with one group of
+candidate blocks. A task streams the blocks of its cells in order, the queries of a cell first, so it
+holds one group of queries and one block of candidates at a time. Of a block it makes postings: for
+each term the positions and weights of the candidates that hold it. Query rows scatter weight times
+posting into dense score arrays, and partition selection takes the best. A cell answers with k rows a
+query; a window merges the cells' rows.
+
+Nothing passes through the driver but the numbers of rows, and nothing is broadcast.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries a pass handles (at 1,024 dimensions and 8 bytes, 64 MB), and candidates scored at once.
-GROUP, BLOCK = 8192, 4096
-FOUND = "query_no int, query_id long, vec_id long, score long"
+from .common import materialize, shuffle_width
+
+#: Vectors and bytes of a packed block; queries a cell holds; candidates a cell reads; candidates scored at once.
+PACKED, BYTES, GROUP, CELL, BLOCK = 512, 1 << 20, 4096, 1 << 20, 4096
+#: Query rows that are accumulated at once.
+LANES = 32
+PACKS = "pack long, n int, ids binary, sizes binary, terms binary, width int"
+FOUND = "query_pack long, query_no int, query_id long, vec_id long, score long"
+LEAST, MOST = -(2**63), 2**63 - 1
 
 
 def quantised(vectors: DataFrame, scale: int = 256, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """(vec_id, terms): floor(scale * x) of each component. Rows whose vector is null or holds a null,
-    NaN or infinite component take no part; neither do rows without an id."""
+    """(vec_id, terms): floor(scale * x) of each component; one beyond 64 bits becomes the nearest long.
+    Rows whose vector is null or holds a null, NaN or infinite component take no part; neither do rows
+    without an id."""
     sound = F.col(column).isNotNull() & F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return vectors.where(F.col(id_column).isNotNull()).where(F.coalesce(sound, F.lit(False))).select(F.col(id_column).cast("long").alias("vec_id"), F.transform(column, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("long")).alias("terms"))
 
 
 def _lists(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Row starts and values of a list column."""
-    sizes = np.diff(array.offsets.to_numpy()).astype(np.int64)
-    return np.r_[0, np.cumsum(sizes)], array.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    """Row sizes and values of a list column."""
+    return np.diff(array.offsets.to_numpy()).astype(np.int32), array.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _packed(ids: np.ndarray, sizes: np.ndarray, terms: np.ndarray) -> list:
+    """A block's columns; terms in the least width that holds them all."""
+    width = next(w for w in (2, 4, 8) if not len(terms) or (-(2 ** (8 * w - 1)) <= terms.min() and terms.max() < 2 ** (8 * w - 1)))
+    return [len(ids), ids.astype("<i8").tobytes(), sizes.astype("<i4").tobytes(), terms.astype(f"<i{width}").tobytes(), width]
+
 
+def _unpacked(n: int, ids: bytes, sizes: bytes, terms: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.frombuffer(ids, "<i8"), np.frombuffer(sizes, "<i4"), np.frombuffer(terms, f"<i{width}").astype(np.int64)
 
-def postings(starts: np.ndarray, values: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+
+def _pack(batches):
+    number = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        ids = batch.column("vec_id").to_numpy()
+        sizes, terms = _lists(batch.column("terms"))
+        ends = np.cumsum(sizes, dtype=np.int64)
+        at = 0
+        while at < len(ids):
+            begin = int(ends[at] - sizes[at])
+            to = max(at + 1, min(at + PACKED, int(np.searchsorted(ends, begin + BYTES // 8, "right"))))
+            row = [number, *_packed(ids[at:to], sizes[at:to], terms[begin : int(ends[to - 1])])]
+            yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), pa.array([row[1]], pa.int32()), *(pa.array([v], pa.binary()) for v in row[2:5]), pa.array([row[5]], pa.int32())], names=["pack", "n", "ids", "sizes", "terms", "width"])
+            at, number = to, number + 1
+
+
+def postings(sizes: np.ndarray, values: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """term -> (positions, weights) of the rows that hold it with a weight other than zero."""
-    rows = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    starts = np.cumsum(sizes, dtype=np.int64) - sizes
+    rows = np.repeat(np.arange(len(sizes)), sizes)
     terms = np.arange(len(values)) - starts[rows]
     live = values != 0
     rows, terms, values = rows[live], terms[live], values[live]
@@ -61,72 +94,152 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
         at = np.r_[over, even]
     else:
         at = np.arange(len(scores))
-    return at[np.lexsort((ids[at], -scores[at]))]
-
+    return at[np.lexsort((ids[at], ~scores[at]))]  # ~: falls as scores rise, for every long
+
+
+class Queries:
+    """The queries of a cell and the best candidates of each so far."""
+
+    def __init__(self, k: int) -> None:
+        self.k = k
+        self.packs: list[tuple[int, int]] = []
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.ready = False
+
+    def add(self, pack: int, block) -> None:
+        self.packs.append((pack, len(block[0])))
+        self.parts.append(block)
+
+    def _open(self) -> None:
+        self.ids = np.concatenate([p[0] for p in self.parts])
+        sizes = np.concatenate([p[1] for p in self.parts])
+        values = np.concatenate([p[2] for p in self.parts])
+        self.parts = []
+        self.heavy = int(np.abs(values.astype(float)).max(initial=0))
+        self.longest = int(sizes.max(initial=0))
+        ends = np.cumsum(sizes, dtype=np.int64)
+        self.lanes = []  # the postings of a few queries at a time
+        for a in range(0, len(self.ids), LANES):
+            b = min(a + LANES, len(self.ids))
+            self.lanes.append((a, b, postings(sizes[a:b], values[int(ends[a] - sizes[a]) : int(ends[b - 1])])))
+        self.kept_ids = [np.empty(0, np.int64)] * len(self.ids)
+        self.kept = [np.empty(0, np.int64)] * len(self.ids)
+        self.ready = True
+
+    def scan(self, block) -> None:
+        """Scores a block of candidates for every query."""
+        if not self.ready:
+            self._open()
+        ids, sizes, values = block
+        table = postings(sizes, values)
+        # Scores that might pass 64 bits are summed as Python's integers and then taken to the nearest long.
+        wide = float(self.heavy) * float(np.abs(values.astype(float)).max(initial=0)) * min(self.longest, int(sizes.max(initial=0))) >= 2.0**62
+        kind = object if wide else np.int64
+        for a, b, lane in self.lanes:
+            scores = np.zeros((b - a, len(ids)), kind)
+            for term, (rows, weights) in lane.items():
+                entry = table.get(term)
+                if entry is None:
+                    continue
+                at, held = entry
+                if wide:
+                    weights, held = weights.astype(object), held.astype(object)
+                if len(at) == len(ids) and len(rows) == b - a:
+                    scores += weights[:, None] * held
+                elif len(at) == len(ids):
+                    scores[rows] += weights[:, None] * held
+                else:
+                    scores[np.ix_(rows, at)] += weights[:, None] * held
+            if wide:
+                scores = np.clip(scores, LEAST, MOST).astype(np.int64)
+            for q in range(a, b):
+                self._keep(q, ids, scores[q - a])
+
+    def _keep(self, q: int, ids: np.ndarray, points: np.ndarray) -> None:
+        if len(self.kept[q]) == self.k:  # only what reaches the least kept score can enter
+            near = np.flatnonzero(points >= self.kept[q][-1])
+            if not len(near):
+                return
+            ids, points = ids[near], points[near]
+        own = ids == self.ids[q]
+        if own.any():
+            ids, points = ids[~own], points[~own]
+        ids, points = np.concatenate([self.kept_ids[q], ids]), np.concatenate([self.kept[q], points])
+        top = best(ids, points, self.k)
+        self.kept_ids[q], self.kept[q] = ids[top], points[top]
+
+    def found(self):
+        if not self.ready:
+            return None
+        pack = np.repeat([p for p, _ in self.packs], [n for _, n in self.packs])
+        no = np.concatenate([np.arange(n) for _, n in self.packs])
+        many = np.array([len(x) for x in self.kept])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(pack, many), pa.int64()), pa.array(np.repeat(no, many).astype(np.int32)), pa.array(np.repeat(self.ids, many)), pa.array(np.concatenate(self.kept_ids)), pa.array(np.concatenate(self.kept))],
+            names=["query_pack", "query_no", "query_id", "vec_id", "score"],
+        )
+
+
+def _search(k: int, block: int):
+    """Rows of cells in order, each cell's queries before its candidates -> the best of each cell."""
+
+    def merged(held):
+        return tuple(np.concatenate(part) for part in zip(*held))
 
-def _search(queries, k: int, block: int):
     def run(batches):
-        q_ids, q_starts, q_values = queries.value
-        kept: list = [None] * len(q_ids)
+        cell = None
+        queries = Queries(k)
+        held, size = [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, block):
-                part = batch.slice(at, block)
-                ids = part.column("vec_id").to_numpy()
-                table = postings(*_lists(part.column("terms")))
-                full = {t: len(rows) == len(ids) for t, (rows, _) in table.items()}
-                scores = np.empty(len(ids), np.int64)
-                held = np.empty(len(ids), np.int64)
-                for q in range(len(q_ids)):
-                    scores[:] = 0
-                    weights = q_values[q_starts[q] : q_starts[q + 1]]
-                    for t in np.flatnonzero(weights):
-                        entry = table.get(int(t))
-                        if entry is None:
-                            continue
-                        if full[int(t)]:
-                            np.multiply(entry[1], weights[t], out=held)
-                            scores += held
-                        else:
-                            scores[entry[0]] += entry[1] * weights[t]
-                    own = np.flatnonzero(ids == q_ids[q])
-                    mine, points = (np.delete(ids, own), np.delete(scores, own)) if len(own) else (ids, scores)
-                    if kept[q] is not None and len(points) and len(kept[q][0]) == k and points.max() < kept[q][1][-1]:
-                        continue
-                    if kept[q] is not None:
-                        mine, points = np.r_[kept[q][0], mine], np.r_[kept[q][1], points]
-                    top = best(mine, points, k)
-                    kept[q] = mine[top].copy(), points[top].copy()
-        found = [(q, *kept[q]) for q in range(len(q_ids)) if kept[q] is not None and len(kept[q][0])]
-        if found:
-            no = np.concatenate([np.full(len(i), q, np.int32) for q, i, _ in found])
-            yield pa.RecordBatch.from_arrays([pa.array(no), pa.array(q_ids[no]), pa.array(np.concatenate([i for _, i, _ in found])), pa.array(np.concatenate([s for _, _, s in found]))], names=["query_no", "query_id", "vec_id", "score"])
+            for r in range(batch.num_rows):
+                row = {name: batch.column(name)[r].as_py() for name in batch.schema.names}
+                if cell != (row["i"], row["j"]):
+                    if held:
+                        queries.scan(merged(held))
+                    found = queries.found()
+                    if found is not None:
+                        yield found
+                    cell, queries, held, size = (row["i"], row["j"]), Queries(k), [], 0
+                part = _unpacked(row["n"], row["ids"], row["sizes"], row["terms"], row["width"])
+                if row["side"] == 0:
+                    queries.add(row["pack"], part)
+                elif queries.packs:
+                    if held and size + len(part[0]) > block:
+                        queries.scan(merged(held))
+                        held, size = [], 0
+                    held.append(part)
+                    size += len(part[0])
+        if held:
+            queries.scan(merged(held))
+        found = queries.found()
+        if found is not None:
+            yield found
 
     return run
 
 
-def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, group: int = GROUP, block: int = BLOCK) -> DataFrame:
+def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, group: int = GROUP, cell: int = CELL, block: int = BLOCK) -> DataFrame:
     """quantised() queries and candidates -> (query_id, rank, vec_id, score), k rows a query or all if
     there are fewer.
 
     Scores are integer inner products; a component that one side lacks counts as zero. A candidate
     with the query's own id is left out. Equal scores go to the smaller id. A query row that repeats
-    gets rows of its own each time. No queries or no candidates: an empty result.
+    gets rows of its own each time. A score beyond 64 bits counts as the nearest long. No queries or no candidates: an empty result.
     """
     spark = candidates.sparkSession
-    n = queries.count()
-    groups = max(1, -(-n // max(1, group // 2)))  # hashed, so that a group is well below its bound
-    parts = []
-    for g in range(groups):
-        own = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(groups)) == g) if groups > 1 else queries
-        arrow = own.toArrow().combine_chunks()
-        if not arrow.num_rows:
-            continue
-        arrow = arrow.sort_by("vec_id")
-        ids = arrow["vec_id"].to_numpy()
-        sent = spark.sparkContext.broadcast((ids, *_lists(arrow["terms"].combine_chunks())))
-        parts.append(candidates.mapInArrow(_search(sent, k, block), FOUND).withColumn("query_group", F.lit(g)))
-    if not parts:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    rows = reduce(DataFrame.unionByName, parts)
-    order = Window.partitionBy("query_group", "query_no").orderBy(F.desc("score"), "vec_id")
+    asked = materialize(queries.select("vec_id", "terms").mapInArrow(_pack, PACKS), "queries")
+    given = materialize(candidates.select("vec_id", "terms").mapInArrow(_pack, PACKS), "candidates")
+    n, m = (df.agg(F.sum("n")).first()[0] or 0 for df in (asked, given))
+    width = shuffle_width(spark)
+    across = max(1, math.ceil(n / group))
+    # Cells enough to keep every task busy, or so many that none reads more than its share.
+    down = max(1, math.ceil(m / cell), min(math.ceil(2 * width / across), math.ceil(m / PACKED)))
+    place = lambda seed, many: F.pmod(F.xxhash64(F.lit(seed), "pack"), F.lit(many)).cast("int")
+    each = lambda many: F.explode(F.sequence(F.lit(0), F.lit(many - 1)))
+    columns = ("i", "j", "side", "pack", "n", "ids", "sizes", "terms", "width")
+    left = asked.withColumns({"i": place(1, across), "side": F.lit(0)}).withColumn("j", each(down)).select(*columns)
+    right = given.withColumns({"j": place(2, down), "side": F.lit(1)}).withColumn("i", each(across)).select(*columns)
+    dealt = left.union(right).repartition(width, "i", "j").sortWithinPartitions("i", "j", "side", "pack")
+    rows = dealt.mapInArrow(_search(k, block), FOUND)
+    order = Window.partitionBy("query_pack", "query_no").orderBy(F.desc("score"), "vec_id")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")

@@ -134,7 +134,7 @@ def test_media(spark, odd):
     assert len({r["media_sha256"] for r in got}) == len({r["payload_sha256"] for r in got})
 
 
-def test_top_k_by_brute_force(spark):
+def test_top_k_by_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(5)
     rows = [(k, [float(x) for x in np.round(rng.normal(size=6), 1)]) for k in range(80)] + [(None, [1.0]), (200, None), (201, [1.0, None]), (202, [float("nan")]), (203, []), (7, [2.0])]
     vectors = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3))
@@ -144,9 +144,17 @@ def test_top_k_by_brute_force(spark):
     for q, a in queries:
         scores = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in sound if i != q)[:5]
         want.update((q, rank + 1, i, -s) for rank, (s, i) in enumerate(scores))
-    for group in (8192, 4):
-        assert Counter(tuple(r) for r in topk.top_k(vectors.where("vec_id % 10 = 0"), vectors, group=group, block=16).collect()) == want
-    assert topk.top_k(vectors.limit(0), vectors).count() == 0
+    monkeypatch.setattr(topk, "PACKED", 3)
+    for group, cell, block in ((4096, 1 << 20, 4096), (4, 1 << 20, 16), (2, 20, 7)):
+        assert Counter(tuple(r) for r in topk.top_k(vectors.where("vec_id % 10 = 0"), vectors, group=group, cell=cell, block=block).collect()) == want
+    assert topk.top_k(vectors.limit(0), vectors).count() == topk.top_k(vectors, vectors.limit(0)).count() == 0
+
+
+def test_scores_beyond_64_bits(spark):
+    """Such scores count as the nearest long."""
+    vectors = topk.quantised(spark.createDataFrame([(0, [1e300, 1e300]), (1, [-1e300, 1.0]), (2, [1e12, 1e12]), (3, [1.0, 0.0]), (4, [1e17, 0.0])], "vec_id long, embedding array<double>"))
+    got = [(r["vec_id"], r["score"]) for r in topk.top_k(vectors.where("vec_id = 0"), vectors).orderBy("rank").collect()]
+    assert got == [(2, 2**63 - 1), (3, 2**63 - 1), (4, 2**63 - 1), (1, -(2**63))]
 
 
 def test_toxicity_on_held_out_rows(spark, small):
