@@ -14,13 +14,16 @@ passes over a table of text chunks, joined by small rows:
 3. Chunks mark the bytes that lost windows cover, and digest what is left.
 
 A passage that a third of all documents share is one block row a chunk and one distinct block in its
-shard. Shards are hashed and as many as there are shuffle partitions, so their size is set by that.
+shard. There is a shard for every SHARD bytes of text, each in a partition of its own, so what a task
+reads does not grow with the input. Where a window holds its least gram more than once, as in periodic
+text, the anchor is taken so that neighbouring windows share it: blocks stay few whatever a text holds.
 """
 
 from __future__ import annotations
 
 import atexit
 import hashlib
+import math
 import struct
 import uuid
 from collections.abc import Iterator
@@ -41,6 +44,9 @@ CHUNK = 4 << 20
 #: Bytes of blocks that are sorted as one text, and positions hashed at once: what caches hold.
 SORTED = 1 << 20
 PIECE = 1 << 15
+#: Bytes of text a shard stands for, and rows of blocks that are gathered at once.
+SHARD = 4 << 20
+GATHER = 1 << 14
 NO_ID = np.iinfo(np.int64).max
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
 CHUNK_ROWS = "chunk long, ids array<long>, sizes array<long>, known array<boolean>, body binary"
@@ -145,7 +151,10 @@ class Blocks:
         anchor = anchor[window]
         if not len(window):
             return *(np.empty(0, np.int64) for _ in range(3)), np.empty(0, np.uint64)
-        first = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (window[1:] != window[:-1] + 1)])
+        first = _breaks(anchor, window)
+        if len(first) * 12 > len(window):
+            anchor = _steady(hashes, anchor, window, start, grams)
+            first = _breaks(anchor, window)
         count = np.diff(np.r_[first, len(window)])
         return window[first] + start, count, anchor[first] + start, hashes[anchor[first]]
 
@@ -160,11 +169,14 @@ class Blocks:
         left = self.width - GRAM
         size = left + self.width
         column = np.arange(size)
-        begin = (self.anchor - left)[rows]
-        at = begin[:, None] + column
-        out = self.body[np.clip(at, 0, len(self.body) - 1)]
-        low = (self.low[rows] - begin)[:, None]
-        out[(column < low) | (column >= low + (self.count[rows] + self.width - 1)[:, None])] = 0
+        out = np.empty((len(rows), size), np.uint8)
+        for a in range(0, len(rows), GATHER):
+            part = rows[a : a + GATHER]
+            begin = self.anchor[part] - left
+            content = self.body[np.clip(begin[:, None] + column, 0, len(self.body) - 1)]
+            low = (self.low[part] - begin)[:, None]
+            content[(column < low) | (column >= low + (self.count[part] + self.width - 1)[:, None])] = 0
+            out[a : a + GATHER] = content
         return out
 
     def shared(self, shards: int, answer: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
@@ -180,6 +192,24 @@ class Blocks:
         return rows, shard[inverse[rows]]
 
 
+def _breaks(anchor: np.ndarray, window: np.ndarray) -> np.ndarray:
+    """Where blocks begin among windows."""
+    return np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (window[1:] != window[:-1] + 1)])
+
+
+def _steady(hashes: np.ndarray, anchor: np.ndarray, window: np.ndarray, start: int, grams: int) -> np.ndarray:
+    """Moves anchors to another gram of the same hash within their window: the first one at or behind
+    the position divisible by `grams`, which windows that follow each other have in common."""
+    _, kind = np.unique(hashes, return_inverse=True)
+    held = np.sort(kind << 17 | np.arange(len(kind)))
+    beat = -(-(window + start) // grams) * grams - start
+    at = np.searchsorted(held, kind[anchor] << 17 | beat)
+    found = held[np.minimum(at, len(held) - 1)]
+    place = found & 0x1FFFF
+    fits = (at < len(held)) & (found >> 17 == kind[anchor]) & (place < window + grams)
+    return np.where(fits, place, anchor)
+
+
 def row_groups(content: np.ndarray, *more: np.ndarray) -> np.ndarray:
     """A number for each row that is equal exactly for equal rows (of content and what else is given)."""
     n, size = content.shape
@@ -204,8 +234,19 @@ def row_groups(content: np.ndarray, *more: np.ndarray) -> np.ndarray:
     return inverse
 
 
-def _tell_anchors(shards: int, width: int):
-    """Pass 1, chunk side: (shard, chunk, the sorted hashes of its anchors, bits of those in several documents)."""
+def shard_homes(spark, shards: int) -> np.ndarray:
+    """A key for each shard that hash partitioning into as many partitions sends to one of its own."""
+    tries = spark.range(int(shards * (math.log(shards) + 12))).select("id", F.pmod(F.hash("id"), F.lit(shards)).alias("at"))
+    homes = np.arange(shards, dtype=np.int64)
+    for r in tries.groupBy("at").agg(F.min("id").alias("id")).collect():  # a row a shard
+        homes[r["at"]] = r["id"]
+    return homes
+
+
+def _tell_anchors(homes: np.ndarray, width: int):
+    """Pass 1, chunk side: (home and number of a shard, chunk, the sorted hashes of its anchors, bits of
+    those in several documents)."""
+    shards = len(homes)
 
     def run(batches):
         for batch in batches:
@@ -225,8 +266,8 @@ def _tell_anchors(shards: int, width: int):
                 at = np.searchsorted(shard, np.arange(shards + 1))
                 some = np.flatnonzero(at[1:] > at[:-1])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(some.astype(np.int32)), pa.array(np.full(len(some), chunk)), pa.array([rest[at[k] : at[k + 1]].tobytes() for k in some], pa.binary()), pa.array([np.packbits(several[at[k] : at[k + 1]]).tobytes() for k in some], pa.binary())],
-                    names=["shard", "chunk", "hashes", "several"],
+                    [pa.array(homes[some]), pa.array(some.astype(np.int32)), pa.array(np.full(len(some), chunk)), pa.array([rest[at[k] : at[k + 1]].tobytes() for k in some], pa.binary()), pa.array([np.packbits(several[at[k] : at[k + 1]]).tobytes() for k in some], pa.binary())],
+                    names=["home", "shard", "chunk", "hashes", "several"],
                 )
 
     return run
@@ -265,8 +306,9 @@ def _representatives(blocks: Blocks, rows: np.ndarray, shard: np.ndarray):
     return content, group, first, low
 
 
-def _send_blocks(shards: int, width: int):
-    """Pass 2, chunk side: (shard, chunk, packed distinct blocks)."""
+def _send_blocks(homes: np.ndarray, width: int):
+    """Pass 2, chunk side: (home, shard, chunk, packed distinct blocks)."""
+    shards = len(homes)
 
     def run(batches):
         for batch in batches:
@@ -285,7 +327,7 @@ def _send_blocks(shards: int, width: int):
                 for k in some:
                     part = slice(at[k], at[k + 1])
                     packed.append(struct.pack("<q", at[k + 1] - at[k]) + low[part].tobytes() + begin[part].astype(np.uint8).tobytes() + count[part].astype(np.uint8).tobytes() + content[first[part]].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), chunk)), pa.array(packed, pa.binary())], names=["shard", "chunk", "blocks"])
+                yield pa.RecordBatch.from_arrays([pa.array(homes[some]), pa.array(some.astype(np.int32)), pa.array(np.full(len(some), chunk)), pa.array(packed, pa.binary())], names=["home", "shard", "chunk", "blocks"])
 
     return run
 
@@ -367,15 +409,17 @@ def _removed(blocks: Blocks, rows, shard, masks: np.ndarray) -> np.ndarray:
         raise ValueError("answers do not fit their chunk")
     width = blocks.width
     every = np.arange(width - GRAM + 1)
-    lost = (masks[group][:, None] >> every.astype(np.uint64)) & np.uint64(1) > 0
-    lost |= (blocks.ids[blocks.doc[rows]] > low[group])[:, None]  # an equal block stands in a smaller id's text here
-    lost &= every < blocks.count[rows][:, None]
-    starts = np.zeros(len(blocks.body) + 1, np.int64)
-    at = (blocks.low[rows][:, None] + every)[lost]
-    starts[at + 1] = 1  # windows are distinct positions
-    sums = np.cumsum(starts)
-    ends = np.minimum(np.arange(len(blocks.body)) + 1, len(blocks.body))
-    return sums[ends] > sums[np.maximum(ends - width, 0)]
+    # One more window covers a byte from where it starts, one less from behind its end: at most `width` at once.
+    change = np.zeros(len(blocks.body) + width + 1, np.int8)
+    for a in range(0, len(rows), GATHER):
+        part, of = rows[a : a + GATHER], group[a : a + GATHER]
+        lost = (masks[of][:, None] >> every.astype(np.uint64)) & np.uint64(1) > 0
+        lost |= (blocks.ids[blocks.doc[part]] > low[of])[:, None]  # an equal block stands in a smaller id's text here
+        lost &= every < blocks.count[part][:, None]
+        at = (blocks.low[part][:, None] + every)[lost]  # distinct positions
+        change[at] += 1
+        change[at + width] -= 1
+    return np.cumsum(change[: len(blocks.body)], dtype=np.int8) > 0
 
 
 def _digest(shards: int, width: int, keep_text: bool):
@@ -424,13 +468,15 @@ def deduplicate(docs: DataFrame, width: int = WIDTH, keep_text: bool = False) ->
     if not GRAM < width <= GRAM + 63:
         raise ValueError(f"width must be from {GRAM + 1} to {GRAM + 63}")
     spark = docs.sparkSession
-    shards = shuffle_width(spark)
     chunks = chunk_table(docs)
-    told = chunks.select("chunk", "ids", "sizes", "body").mapInArrow(_tell_anchors(shards, width), "shard int, chunk long, hashes binary, several binary")
-    shared = told.groupBy("shard").applyInArrow(_shared_anchors, "chunk long, shard int, bits binary")
+    size = chunks.agg(F.sum(F.expr("aggregate(sizes, 0L, (a, x) -> a + x)"))).first()[0] or 0
+    shards = max(shuffle_width(spark), math.ceil(size / SHARD))
+    homes = shard_homes(spark, shards)
+    told = chunks.select("chunk", "ids", "sizes", "body").mapInArrow(_tell_anchors(homes, width), "home long, shard int, chunk long, hashes binary, several binary")
+    shared = told.repartition(shards, "home").groupBy("home").applyInArrow(_shared_anchors, "chunk long, shard int, bits binary")
     answers = materialize(shared.groupBy("chunk").agg(F.collect_list(F.struct("shard", "bits")).alias("answer")), "anchors")
-    sent = chunks.join(answers, "chunk").select("chunk", "ids", "sizes", "body", "answer").mapInArrow(_send_blocks(shards, width), "shard int, chunk long, blocks binary")
-    sorted_ = sent.groupBy("shard").applyInArrow(_sort_shard(width), "chunk long, shard int, masks binary")
+    sent = chunks.join(answers, "chunk").select("chunk", "ids", "sizes", "body", "answer").mapInArrow(_send_blocks(homes, width), "home long, shard int, chunk long, blocks binary")
+    sorted_ = sent.repartition(shards, "home").groupBy("home").applyInArrow(_sort_shard(width), "chunk long, shard int, masks binary")
     losses = materialize(sorted_.groupBy("chunk").agg(F.collect_list(F.struct("shard", "masks")).alias("lost")), "losses")
     final = chunks.join(answers.join(losses, "chunk", "left"), "chunk", "left").select("ids", "sizes", "known", "body", "answer", "lost")
     return final.mapInArrow(_digest(shards, width, keep_text), DIGEST + ", kept binary" * keep_text)

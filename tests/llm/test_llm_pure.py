@@ -3,6 +3,7 @@
 import random
 import re
 import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -126,6 +127,57 @@ def test_equal_windows_have_equal_anchors():
     assert sum(blocks.count) == sum(max(0, n - 49) for n in (len(body) // 2, len(body) - len(body) // 2))
 
 
+@pytest.mark.parametrize("unit", [b"-", b"ab", b"0123456", b"= " * 20, b"x" * 70 + b"y"])
+def test_periodic_texts_have_few_blocks(unit):
+    body = b"lead " * 30 + unit * (200_000 // len(unit)) + b" end of it" * 9
+    blocks = substrings.Blocks([1], [len(body)], body)
+    assert sum(blocks.count) == len(body) - 49 and len(blocks.low) < len(body) / 8
+    seen = {}
+    for low, count, anchor in zip(blocks.low.tolist(), blocks.count.tolist(), blocks.anchor.tolist()):
+        for k in range(low, low + count):
+            gram = body[anchor : anchor + 16]
+            assert k <= anchor <= k + 34 and seen.setdefault(body[k : k + 50], gram) == gram
+
+
+def test_memory_of_periodic_chunks():
+    """A chunk of 4 MB of dashes beside ordinary text takes well below a gigabyte."""
+    body = b"-" * (4 << 20)
+    blocks = substrings.Blocks([1, 2], [len(body) // 2, len(body) - len(body) // 2], body)
+    tracemalloc.start()
+    rows = np.arange(len(blocks.low))
+    shard = np.zeros(len(rows), np.int64)
+    _, _, first, low = substrings._representatives(blocks, rows, shard)
+    gone = substrings._removed(blocks, rows, shard, np.zeros(len(first), np.uint64))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert gone[: len(body) // 2].sum() == 0 and gone[len(body) // 2 :].all() and peak < 300e6
+
+
+def test_common_prefixes():
+    rng = random.Random(16)
+    for _ in range(300):
+        t = "".join(rng.choice("ab") for _ in range(rng.randint(1, 60))).encode() * rng.randint(1, 3)
+        a = np.frombuffer(t, np.uint8)
+        order = suffix.suffix_array(a).tolist()
+        depth = rng.randint(1, 30)
+        got = dict(zip(*map(np.ndarray.tolist, suffix.permuted_prefixes(a, np.array(order), depth))))
+        for before, p in zip(order, order[1:]):
+            same = 0
+            while same < depth and max(p, before) + same < len(t) and t[p + same] == t[before + same]:
+                same += 1
+            assert got[p] == same
+
+
+@pytest.mark.parametrize("unit", ["-", "ab", "abcab", "aab"])
+def test_long_runs_are_sorted_in_linear_time(unit):
+    text = np.frombuffer(unit.encode() * (300_000 // len(unit)), np.uint8)
+    began = time.perf_counter()
+    order = suffix.suffix_array(text)
+    assert time.perf_counter() - began < 10
+    if unit == "-":
+        assert (order == np.arange(len(text))[::-1]).all()
+
+
 def test_ogg_round_trip_and_damage():
     rng = random.Random(10)
     for n in (0, 1, 575, 576, 577, 5000, 60000):

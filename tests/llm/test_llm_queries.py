@@ -93,7 +93,7 @@ def test_links_beyond_a_block(spark):
 def test_repeats_by_brute_force(spark, small):
     rng = random.Random(4)
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{small}/documents.parquet").limit(60).collect()]
-    pool = [" ".join(rng.choice(["a", "aa", "of of of", "ab" * 20, "x" * 60]) for _ in range(rng.randint(1, 40))) for _ in range(6)]
+    pool = ["-" * 300, "ab" * 200 + "-" * 90, *(" ".join(rng.choice(["a", "aa", "of of of", "ab" * 20, "x" * 60]) for _ in range(rng.randint(1, 40))) for _ in range(6))]
     rows += [(rng.choice([None, *range(500, 510)]), rng.choice([None, "", *pool])) for _ in range(40)]
     first = {}
     rank = lambda i: 1 << 62 if i is None else i
