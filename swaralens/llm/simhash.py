@@ -7,8 +7,9 @@ most l * 3/4 bits: 0, 1, 2 and 3. Candidates are made from the first two links o
 three and four segments prune them, and the Hamming distance decides.
 
 Only classes of equal fingerprints are compared, so copies cost one row. Links leave a key as a
-spanning forest, never as all pairs. A key with more classes than BLOCK is cut into blocks; each
-pair of blocks is then a task row of its own.
+spanning forest, never as all pairs; whatever a key's size, its pairs pass the chain budgets before
+the full check. A key with more classes than BLOCK is cut into blocks; each pair of blocks is then a
+row of its own, dealt by both blocks.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ RADIUS = 3
 BLOCK = 4096
 #: Fingerprint classes with more than one in HOT of all rows are too large for one shuffle partition.
 HOT = 1000
+#: Ids (8 bytes each) that may be broadcast.
+BROADCAST = 1_000_000
 #: The bits of each of the 256 byte values, lowest first.
 BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 LANE = np.arange(8, dtype=np.int64) * 256
@@ -104,8 +107,21 @@ def pigeonring(a: np.ndarray, b: np.ndarray, start: np.ndarray) -> np.ndarray:
     return out[np.bitwise_count(diff[out]) <= RADIUS]
 
 
-def forest(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links (RADIUS bits or fewer) among distinct fingerprints."""
+def chain_masks(start: int) -> list[tuple[np.uint64, int]]:
+    """For chains of two, three and four segments from `start` their bits and their budget; within a
+    key the first segments are equal."""
+    out, mask = [], 0
+    for link in range(4):
+        mask |= 0xFFFF << 16 * ((start + link) % 4)
+        if link:
+            out.append((np.uint64(mask), (link + 1) * RADIUS // 4))
+    return out
+
+
+def forest(members: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links among distinct fingerprints of a key of segment `start`. Chains
+    of segments beyond their budget prune pairs step by step; the last chain is the full Hamming check."""
+    chains = chain_masks(start)
     rest, front = members[1:], [members[0]] if len(members) else []
     a, b = [], []
     while len(rest):
@@ -113,13 +129,16 @@ def forest(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             front, rest = [rest[0]], rest[1:]
             continue
         x = front.pop()
-        near = np.bitwise_count(rest ^ x) <= RADIUS
-        if near.any():
+        diff = rest ^ x
+        near = np.arange(len(rest))
+        for mask, budget in chains:
+            near = near[np.bitwise_count(diff[near] & mask) <= budget]
+        if len(near):
             found = rest[near]
             a.append(np.full(len(found), x))
             b.append(found)
             front.extend(found)
-            rest = rest[~near]
+            rest = np.delete(rest, near)
     empty = np.empty(0, np.uint64)
     return (np.concatenate(a), np.concatenate(b)) if a else (empty, empty)
 
@@ -159,7 +178,7 @@ def _links(batches):
 
 
 def _part(key: int, block: int, members: np.ndarray):
-    yield _rows(*forest(members))
+    yield _rows(*forest(members, key >> 32))
     yield _held(key, block, members)
 
 
@@ -188,7 +207,7 @@ def _whole(key, fp, probe, block):
         at, n = first[g], sizes[g]
         members = np.unique(fp[at : at + n])
         if len(members) <= BLOCK:
-            yield _rows(*forest(members))
+            yield _rows(*forest(members, int(key[at]) >> 32))
         else:
             for k in range(0, len(members), BLOCK):
                 yield from _part(int(key[at]), k // BLOCK, members[k : k + BLOCK])
@@ -197,8 +216,8 @@ def _whole(key, fp, probe, block):
 def _across(batches):
     """Links between two blocks of one key."""
     for batch in batches:
-        for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-            a, b = forest(np.unique(np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])))
+        for key, x, y in zip(*(batch.column(c).to_pylist() for c in ("key", "x", "y"))):
+            a, b = forest(np.unique(np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])), key >> 32)
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
 
@@ -212,8 +231,11 @@ def links(classes: DataFrame) -> DataFrame:
     held = found.where("members is not null").select("key", "block", "members")
     if held.isEmpty():
         return direct
-    pairs = held.select("key", F.col("block").alias("i"), F.col("members").alias("x")).join(held.select("key", F.col("block").alias("j"), F.col("members").alias("y")), "key").where("i < j")
-    return direct.union(pairs.select("x", "y").mapInArrow(_across, "a long, b long"))
+    # Pairs of blocks are dealt by both numbers, so a key of many blocks has as many tasks as it can use.
+    names = held.select("key", "block")
+    pairs = names.withColumnRenamed("block", "i").join(names.withColumnRenamed("block", "j"), "key").where("i < j").repartition(shuffle_width(spark), "key", "i", "j")
+    pairs = pairs.join(held.withColumnsRenamed({"block": "i", "members": "x"}), ["key", "i"]).join(held.withColumnsRenamed({"block": "j", "members": "y"}), ["key", "j"])
+    return direct.union(pairs.select("key", "x", "y").mapInArrow(_across, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -238,12 +260,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rest.unionByName(prints.join(hot, "fp")).select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, most: int = BROADCAST) -> DataFrame:
     """documents without all but the first document (smallest doc_id) of each component.
 
-    Rows with a null doc_id stay. Rows that share a kept doc_id stay together.
+    Rows with a null doc_id stay. Rows that share a kept doc_id stay together. Up to `most` ids that
+    go are sent to the texts; beyond that, texts and ids are joined by key.
     """
     judged = materialize(near_duplicates(docs), "judged")
     lost = judged.where("doc_id <> component_id").select("doc_id").distinct()
     kept = judged.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(lost.join(kept, "doc_id", "left_anti"), "doc_id", "left_anti").select(*docs.columns)
+    gone = materialize(lost.join(kept, "doc_id", "left_anti"), "gone").withColumnRenamed("doc_id", "gone_id")
+    if gone.count() <= most:
+        gone = F.broadcast(gone)
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["gone_id"], "left_anti")

@@ -79,10 +79,10 @@ def test_links_beyond_a_block(spark):
         if r["members"] is not None:
             held.setdefault(r["key"], []).append(r["members"])
     assert any(len(v) > 1 for v in held.values())
-    for parts in held.values():
+    for key, parts in held.items():
         for i in range(len(parts)):
             for j in range(i):
-                a, b = simhash.forest(np.unique(np.concatenate([np.frombuffer(parts[i], np.uint64), np.frombuffer(parts[j], np.uint64)])))
+                a, b = simhash.forest(np.unique(np.concatenate([np.frombuffer(parts[i], np.uint64), np.frombuffer(parts[j], np.uint64)])), key >> 32)
                 links += list(zip(a.tolist(), b.tolist()))
     assert all((a ^ b).bit_count() <= 3 for a, b in links)
     left, right = (np.array(x, np.uint64).view(np.int64) for x in zip(*links))
@@ -90,6 +90,36 @@ def test_links_beyond_a_block(spark):
     assert len(set(roots.tolist())) == 1 and len(nodes) == len(fps) - 1
 
 
+def test_pairs_of_blocks_on_spark(spark, monkeypatch):
+    """Keys beyond a block's size go through the join of their blocks and keep every link."""
+    rng = random.Random(12)
+    base = rng.getrandbits(32)
+    fps = sorted({base | 1 << 32 + b | 1 << 32 + c for b in range(31) for c in range(b)} | {rng.getrandbits(64) for _ in range(200)})
+    label = components_of(fps)
+
+    def small_blocks(rows):
+        simhash.BLOCK = 64
+        return whole(rows)
+
+    whole = simhash._links
+    monkeypatch.setattr(simhash, "_links", small_blocks)
+    df = spark.createDataFrame([(f - 2**64 if f >= 2**63 else f,) for f in fps], "fp long")
+    found = simhash.links(df).collect()
+    monkeypatch.undo()
+    left, right = (np.array([r[c] for r in found], np.int64) for c in ("a", "b"))
+    roots = dict(zip(*(x.tolist() for x in components.local_forest(left, right))))
+    got = Counter(roots.get(f - 2**64 if f >= 2**63 else f, f - 2**64 if f >= 2**63 else f) for f in fps)
+    assert sorted(got.values()) == sorted(Counter(label).values())
+
+
+def test_keep_one_either_way(spark, odd):
+    for most in (0, 1000):
+        kept = simhash.keep_one(odd, most)
+        assert kept.columns == odd.columns and kept.where("doc_id is null").count() == odd.where("doc_id is null").count()
+        low = {r["component_id"] for r in simhash.near_duplicates(odd).collect()}
+        assert {r["doc_id"] for r in kept.collect()} - {None} == low - {None}
+
+
 def test_repeats_by_brute_force(spark, small):
     rng = random.Random(4)
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{small}/documents.parquet").limit(60).collect()]
