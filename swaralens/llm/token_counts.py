@@ -7,13 +7,16 @@ each chunk is encoded on its own, with the offsets of its tokens. Two neighbours
 - merge-type models (SentencePiece BPE): a token that both chunks place on the same characters. A
   BPE result is right exactly if each pair of neighbouring tokens is one that merging the pair's own
   text gives back. The pairs up to the shared token come from the left chunk and those after it from
-  the right one, so the spliced sequence is the result for the whole text.
+  the right one, so the spliced sequence is the result for the whole text. A right chunk starts at a
+  token of the left one and is encoded without the blank that the model puts before a text, so even
+  in a run of one character the two agree from the start.
 - models that split words first (tokenizers JSON files): a space after a non-space and before a
   letter or digit, at which both chunks begin a token. No word the splitter makes crosses it, and
   what follows does not depend on what stands before.
 
-If an overlap has no such boundary, it is doubled and the right chunk encoded again, up to the start
-of the left chunk: the two are then one chunk. No token is ever estimated.
+If an overlap has no such boundary, the overlap and the chunk are doubled and the right chunk is
+encoded again, back to the start of the text at most. As both grow, a text without any boundary costs
+a few times its length, not its square. No token is ever estimated.
 """
 
 from __future__ import annotations
@@ -28,16 +31,25 @@ from pyspark.sql import functions as F
 from .common import texts_of
 
 CHUNK, OVERLAP = 8192, 256
+#: Tokens whose spans are kept for further overlaps, 16 bytes each.
+HELD = 1 << 20
 LIMIT = 4096
 
 
+#: A model's normaliser without the blank before a text: a later field overrules an earlier one.
+NO_BLANK = b"\x1a\x02\x18\x00"
+
+
 class PieceModel:
-    """A SentencePiece BPE model; spans are in characters of the text behind its leading blank."""
+    """A SentencePiece BPE model; spans are in characters of the text."""
 
     def __init__(self, path: str) -> None:
         import sentencepiece
 
-        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        with open(path, "rb") as file:
+            proto = file.read()
+        self.model = sentencepiece.SentencePieceProcessor(model_proto=proto)
+        self.inner = sentencepiece.SentencePieceProcessor(model_proto=proto + NO_BLANK)
         n = self.model.get_piece_size()
         self.is_byte = np.array([self.model.is_byte(i) for i in range(n)])
         self.width = np.array([1 if b else len(self.model.id_to_piece(i)) for i, b in enumerate(self.is_byte)])
@@ -45,9 +57,10 @@ class PieceModel:
     def count(self, texts: list[str]) -> list[int]:
         return [len(ids) for ids in self.model.encode(texts, num_threads=1)]
 
-    def spans(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Token starts and ends; the tokens of one character's bytes share its span."""
-        ids = np.array(self.model.encode(text), np.int64)
+    def spans(self, text: str, first: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """Token starts and ends; the tokens of one character's bytes share its span. first: the text
+        starts here, so a blank stands before it, at -1."""
+        ids = np.array((self.model if first else self.inner).encode(text), np.int64)
         width = self.width[ids].copy()
         bytes_at = np.flatnonzero(self.is_byte[ids])
         if len(bytes_at):
@@ -59,14 +72,26 @@ class PieceModel:
             cont = np.zeros(len(ids), bool)
             cont[bytes_at] = lead == 0
             starts[cont] -= 1
-        return starts - 1, ends - 1
+        return starts - first, ends - first
 
     def _leads(self, ids: np.ndarray) -> np.ndarray:
         value = np.array([int(self.model.id_to_piece(int(i))[3:5], 16) for i in ids])
         return (value & 0xC0 != 0x80).astype(np.int64)
 
-    def stable(self, text: str, at: np.ndarray) -> np.ndarray:
-        return np.ones(len(at), bool)
+    def restart(self, text: str, starts: np.ndarray, before: int) -> int:
+        """Where a chunk may start: the last token that starts at or before a position; 0: the text's start."""
+        k = int(np.searchsorted(starts, before, "right")) - 1
+        return max(0, int(starts[k])) if k > 0 else 0
+
+    def common(self, text: str, left, right) -> tuple[int, int] | None:
+        """How many tokens of the left chunk to keep and of the right one to leave out."""
+        wide = len(text) + 2
+        a, b = left[0] * wide + left[1], right[0] * wide + right[1]
+        shared = np.intersect1d(a, b)
+        if not len(shared):
+            return None
+        pick = shared[len(shared) // 2]
+        return int(np.searchsorted(a, pick, "right")), int(np.searchsorted(b, pick, "right"))
 
 
 class WordModel:
@@ -82,7 +107,7 @@ class WordModel:
     def count(self, texts: list[str]) -> list[int]:
         return [len(e) for e in self.model.encode_batch(texts, add_special_tokens=False)]
 
-    def spans(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+    def spans(self, text: str, first: bool = True) -> tuple[np.ndarray, np.ndarray]:
         offsets = self.model.encode(text, add_special_tokens=False).offsets
         array = np.array(offsets, np.int64).reshape(-1, 2)
         starts = array[:, 0].copy()
@@ -91,8 +116,16 @@ class WordModel:
                 starts[k] -= 1
         return starts, array[:, 1]
 
-    def stable(self, text: str, at: np.ndarray) -> np.ndarray:
-        return np.array([0 < p < len(text) - 1 and text[p] == " " and not text[p - 1].isspace() and text[p + 1].isalnum() for p in at.tolist()], bool)
+    def restart(self, text: str, starts: np.ndarray, before: int) -> int:
+        return max(0, before)
+
+    def common(self, text: str, left, right) -> tuple[int, int] | None:
+        shared = np.intersect1d(left[0], right[0][1:])
+        shared = shared[[0 < p < len(text) - 1 and text[p] == " " and not text[p - 1].isspace() and text[p + 1].isalnum() for p in shared.tolist()]] if len(shared) else shared
+        if not len(shared):
+            return None
+        cut = shared[len(shared) // 2]
+        return int(np.searchsorted(left[0], cut)), int(np.searchsorted(right[0], cut))
 
 
 @functools.lru_cache(maxsize=4)
@@ -100,54 +133,27 @@ def load(path: str):
     return PieceModel(path) if path.endswith(".model") else WordModel(path)
 
 
-def splice(model, text: str, left: tuple[np.ndarray, np.ndarray], left_from: int, right_from: int, right_to: int):
-    """Joins a left chunk's spans with those of text[right_from:right_to]; None if nothing is stable.
-
-    Only the text's own tokens count as common: the leading blank a chunk gets is cut off.
-    """
-    starts, ends = model.spans(text[right_from:right_to])
-    starts, ends = starts + right_from, ends + right_from
-    if isinstance(model, WordModel):
-        common = np.intersect1d(left[0], starts)
-        common = common[(common > right_from) & model.stable(text, common)]
-        if not len(common):
-            return None
-        cut = common[len(common) // 2]
-        a, b = np.searchsorted(left[0], cut), np.searchsorted(starts, cut)
-        return np.r_[left[0][:a], starts[b:]], np.r_[left[1][:a], ends[b:]]
-    mine = (left[0] >= right_from) & (left[0] >= left_from) & (left[1] > left[0])
-    theirs = (starts >= right_from) & (ends > starts)
-    wide = len(text) + 2
-    a = left[0] * wide + left[1]
-    b = starts * wide + ends
-    common = np.intersect1d(a[mine], b[theirs])
-    if not len(common):
-        return None
-    pick = common[len(common) // 2]
-    i, j = np.searchsorted(a, pick, "right"), np.searchsorted(b, pick, "right")
-    return np.r_[left[0][:i], starts[j:]], np.r_[left[1][:i], ends[j:]]
-
-
-def huge_count(model, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
-    """Tokens of a text of any length, a chunk at a time; only the last chunk's spans are held."""
-    done, at = 0, min(chunk, len(text))
-    left_from, left = 0, model.spans(text[:at])
+def huge_count(model, text: str, chunk: int = CHUNK, overlap: int = OVERLAP, held: int = HELD) -> int:
+    """Tokens of a text of any length, a chunk at a time; the spans of the last `held` tokens are kept."""
+    at = min(chunk, len(text))
+    done, left = 0, model.spans(text[:at])
     while at < len(text):
-        to = min(len(text), at + chunk)
-        wide, joined = overlap, None
-        while joined is None:
-            right_from = at - wide
-            if right_from <= left_from:  # nothing is stable in all of the left chunk
-                joined, done = model.spans(text[:to]), 0
+        wide, step = overlap, chunk
+        while True:
+            to = min(len(text), at + step)
+            begin = model.restart(text, left[0], at - wide) if at > wide else 0
+            if begin <= 0 or done and begin <= left[0][0]:  # nothing is stable in all that is kept
+                done, left = 0, model.spans(text[:to])
+                break
+            starts, ends = model.spans(text[begin:to], False)
+            starts, ends = starts + begin, ends + begin
+            cut = model.common(text, left, (starts, ends))
+            if cut:
+                left = np.r_[left[0][: cut[0]], starts[cut[1] :]], np.r_[left[1][: cut[0]], ends[cut[1] :]]
                 break
-            joined = splice(model, text, left, left_from, right_from, to)
-            wide *= 2
-        left = joined
-        keep = int(np.searchsorted(left[0], max(0, to - chunk)))
-        if to < len(text) and keep:
-            done += keep
-            left = left[0][keep:], left[1][keep:]
-            left_from = int(left[0][0])
+            wide, step = 2 * wide, max(2 * step, 2 * wide)
+        if len(left[0]) > 2 * held:
+            done, left = done + len(left[0]) - held, (left[0][-held:], left[1][-held:])
         at = to
     return done + len(left[0])
 

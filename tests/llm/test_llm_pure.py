@@ -56,6 +56,20 @@ def test_spliced_counts_are_exact(library, chunk, overlap):
     path = tokenizer_path("piece_bpe_32k.model")
     given = [*texts(4, 300, 400), "a" * 500, "一" * 300, " " * 500, "\n" * 300]
     assert token_counts.count_tokens(given, path, chunk, overlap) == [len(library.encode(t)) for t in given]
+    model = token_counts.load(path)
+    for t in given[:200]:
+        if t:
+            assert token_counts.huge_count(model, t, chunk, overlap, held=8) == len(library.encode(t))
+
+
+@pytest.mark.parametrize("unit", ["a", " ", "ab", "一", "\n", "😀", "the in ", "é", "=-"])
+def test_long_runs_are_spliced_in_linear_time(library, unit):
+    path = tokenizer_path("piece_bpe_32k.model")
+    text = "a" + unit * (400_000 // len(unit)) + "b"
+    began = time.perf_counter()
+    count = token_counts.count_tokens([text], path)
+    assert time.perf_counter() - began < 15
+    assert count == [len(library.encode(text))]
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
