@@ -4,8 +4,8 @@ A payload of bytes is taken as 8-bit samples in packets of PACKET bytes. Packets
 streams in turn (even and odd ones); each stream starts with a header packet on a page of its own.
 Pages of both streams are interleaved by the time their last packet ends. Reading verifies each
 page's checksum and sequence number, rebuilds packets from lacing values (also across pages),
-separates the streams by serial number and takes packet times from granule positions; a damaged or
-incomplete file raises OggError.
+separates the streams by serial number and takes packet times from granule positions. A damaged,
+incomplete or foreign file is an OggError, which a row of a table carries in its error column.
 """
 
 from __future__ import annotations
@@ -172,18 +172,24 @@ def decode(data: bytes) -> Media:
     ends: dict[int, float] = {}
     n_bytes = rate = 0
     for serial, stream in streams.items():
-        magic, rate, packet, n_bytes, lane, lanes = HEAD.unpack(stream.packets[0])
-        if magic != MAGIC:
+        if len(stream.packets[0]) != HEAD.size or not stream.packets[0].startswith(MAGIC):
             raise OggError(f"unknown header in stream {serial}")
+        _, rate, packet, n_bytes, lane, lanes = HEAD.unpack(stream.packets[0])
+        if not rate or not packet or lane >= lanes:
+            raise OggError(f"unsound header in stream {serial}")
         stride = lanes * packet
         time: int | None = None
         for body, granule in zip(reversed(stream.packets[1:]), reversed(stream.granules[1:])):
             if granule is not None:
                 time = granule
+            elif time is None:
+                raise OggError(f"no time for the last packet of stream {serial}")
             else:
                 time -= stride
             timed.append((time, body))
         ends[lane] = (stream.granules[-1] or 0) / rate
+    if not timed:
+        raise OggError("no samples")
     timed.sort(key=lambda x: x[0])
     return Media(b"".join(b for _, b in timed), n_bytes, rate, len(streams), len(timed), sum(s.pages for s in streams.values()), [ends[k] for k in sorted(ends)])
 
@@ -222,11 +228,12 @@ def to_media(docs: DataFrame) -> DataFrame:
 
 
 def from_media(media: DataFrame) -> DataFrame:
-    """(doc_id, media) -> digests and features of what is read back. A null file gives nulls; a
-    damaged one raises OggError."""
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    """(doc_id, media) -> digests and features of what is read back, and error. A null file gives
+    nulls. A damaged one, or one that isn't of write()'s making, gives its own size and digest, what is
+    wrong with it in error, and nulls otherwise. Further columns are ignored."""
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
     names = [c.split()[0] for c in schema.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
 
     def run(batches: Iterable[pa.RecordBatch]):
         for batch in batches:
@@ -234,11 +241,16 @@ def from_media(media: DataFrame) -> DataFrame:
             for value in batch.column("media"):
                 stored = value.as_py()
                 if stored is None:
-                    rows.append((None,) * 7)
+                    rows.append((None,) * 8)
                     continue
-                m = decode(stored)
-                rows.append((m.n_bytes, len(m.payload), hashlib.sha256(m.payload).hexdigest(), zlib.crc32(m.payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), features(m)))
-            columns = zip(*rows) if rows else [[]] * 7
+                own = len(stored), hashlib.sha256(stored).hexdigest()
+                try:
+                    m = decode(stored)
+                except OggError as error:
+                    rows.append((None,) * 4 + (*own, None, str(error)))
+                    continue
+                rows.append((m.n_bytes, len(m.payload), hashlib.sha256(m.payload).hexdigest(), zlib.crc32(m.payload[-32:]), *own, features(m), None))
+            columns = zip(*rows) if rows else [[]] * 8
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(list(c), k) for c, k in zip(columns, kinds))], names=names)
 
     return media.select(F.col("doc_id").cast("long"), "media").mapInArrow(run, schema)
