@@ -10,7 +10,7 @@ compatible is the one that merging gives, so the result is exact.
 Blanks become U+2581 and one more is put in front (the model's dummy prefix). No vocabulary piece
 holds that mark behind another character, so each blank starts a unit of its own; characters outside
 the vocabulary never merge and also end a unit (they fall back to byte tokens). Units repeat a lot and
-their results are kept in a bounded table. Pieces made of marks alone have the lowest score, all the
+the results of short ones are kept in a bounded table. Pieces made of marks alone have the lowest score, all the
 same one: they are merged last, from the left.
 """
 
@@ -30,8 +30,8 @@ from .common import texts_of
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
-#: Units and token pairs a worker keeps; a full table starts anew.
-UNITS, PAIRS = 400_000, 500_000
+#: Units (of at most SHORT characters) and token pairs a worker keeps; a full table starts anew.
+UNITS, PAIRS, SHORT = 200_000, 250_000, 32
 
 
 def _fields(data: bytes):
@@ -78,6 +78,8 @@ class BacktrackEncoder:
         pieces = read_pieces(path)
         self.bytes = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(pieces) if kind == BYTE}
         normal = {p: i for i, (p, _, kind) in enumerate(pieces) if kind == NORMAL}
+        if any(MARK in p.lstrip(MARK) for p in normal) or any("\n" in p for p in normal):
+            raise ValueError("units need pieces without a blank behind other characters and without line ends")
         self.runs = {len(p): i for p, i in normal.items() if p.strip(MARK) == ""}
         words = {p: i for p, i in normal.items() if len(p) == 1 or p.strip(MARK)}
         order = {p: k for k, p in enumerate(sorted(words, key=lambda p: (-pieces[words[p]][1], words[p])))}
@@ -168,14 +170,15 @@ class BacktrackEncoder:
         for end, (size, token) in self.automaton.iter(text):
             best[end - size + 1] = token
         out: list[int] = []
-        failed = at = 0
+        failed = b""  # a bit a position, made at the first failure
+        at = 0
         token = best[0]
         length, shorter, known = self.length, self.shorter, self.pairs.get
         last = -1
         while at < n:
             while token >= 0:
                 end = at + length[token]
-                if not (failed and failed >> end & 1):
+                if not (failed and failed[end >> 3] >> (end & 7) & 1):
                     if last < 0:
                         break
                     fits = known(last << 20 | token)
@@ -188,7 +191,8 @@ class BacktrackEncoder:
                 at = end
                 token = best[at] if at < n else -1
             else:
-                failed |= 1 << at
+                failed = failed or bytearray((n >> 3) + 1)
+                failed[at >> 3] |= 1 << (at & 7)
                 token = out.pop()
                 at -= length[token]
                 token = shorter[token]
@@ -222,9 +226,10 @@ class BacktrackEncoder:
 
     def _miss(self, unit: str) -> tuple[int, ...]:
         out = self._fresh(unit)
-        if len(self.units) >= self.limit:
-            self.units.clear()
-        self.units[unit] = out
+        if len(unit) <= SHORT:
+            if len(self.units) >= self.limit:
+                self.units.clear()
+            self.units[unit] = out
         return out
 
     def encode(self, text: str) -> list[int]:

@@ -39,6 +39,18 @@ def test_a_full_unit_table_starts_anew(library):
         assert encoder.encode(t) == library.encode(t)
 
 
+@pytest.mark.parametrize("size", [20_000, 200_000])
+def test_long_units(library, size):
+    """Units without blanks take time in proportion to their length and are not kept."""
+    encoder = pieces.load(tokenizer_path("piece_bpe_32k.model"))
+    rng = random.Random(size)
+    text = "".join(rng.choice("abcdeinrst") for _ in range(size))
+    began = time.perf_counter()
+    ids = encoder.encode(text)
+    assert time.perf_counter() - began < size / 20_000 and ids == library.encode(text)
+    assert max(map(len, encoder.units)) <= pieces.SHORT
+
+
 def test_compatibility_is_what_merging_gives(library):
     encoder = pieces.load(tokenizer_path("piece_bpe_32k.model"))
     rng = random.Random(3)

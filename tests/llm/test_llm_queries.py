@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -159,9 +160,33 @@ def test_codes_and_counts(spark, odd):
 
 def test_media(spark, odd):
     got = ogg.from_media(ogg.to_media(odd)).collect()
-    want = Counter((r["doc_id"], hashlib.sha256(ogg.padded(r["text"] or "")[0]).hexdigest()) for r in odd.collect())
-    assert Counter((r["doc_id"], r["payload_sha256"]) for r in got) == want
-    assert len({r["media_sha256"] for r in got}) == len({r["payload_sha256"] for r in got})
+
+    def digests(text):
+        raw = text.encode()
+        payload = raw + b"\xff" * (-len(raw) % 576 or (0 if raw else 576))
+        return len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:])
+
+    want = Counter((r["doc_id"], *digests(r["text"] or "")) for r in odd.collect())
+    assert Counter((r["doc_id"], r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in got) == want
+    by_payload = {}
+    for r in got:
+        assert r["error"] is None and by_payload.setdefault(r["payload_sha256"], (r["media_bytes"], r["media_sha256"], r["feature"])) == (r["media_bytes"], r["media_sha256"], r["feature"])
+    assert len({v[1] for v in by_payload.values()}) == len(by_payload)
+
+
+def test_features_of_known_samples():
+    payload = bytes([100, 156] * 288)
+    feature = dict(p.split("=") for p in ogg.features(ogg.decode(ogg.write(payload, 576))).split(";"))
+    assert feature == {"rate": "8000", "streams": "2", "packets": "1", "pages": "3", "seconds": "0.072", "ends": "0.072/0.000", "mean": "128.000", "rms": "28.000", "crossings": "575"}
+
+
+def test_damaged_media_are_rows(spark):
+    sound = ogg.write(*ogg.padded("a text of some words " * 100))
+    other = ogg.page(ogg.FIRST | ogg.LAST, 0, 7, 0, ogg.lacing(7), b"Opus" + b"abc")
+    files = [sound, sound[:-5], sound[:60] + b"?" + sound[61:], b"", b"no ogg at all", other, None]
+    rows = ogg.from_media(spark.createDataFrame(list(enumerate(files)), "doc_id long, media binary")).orderBy("doc_id").collect()
+    assert [r["error"] is None for r in rows] == [True, False, False, False, False, False, True]
+    assert rows[0]["n_bytes"] == 2100 and rows[2]["media_bytes"] == len(sound) and rows[2]["payload_sha256"] is None
 
 
 def test_top_k_by_brute_force(spark, monkeypatch):
