@@ -6,10 +6,11 @@ repetition limit, or the one that meets a target entropy. The budget is then dea
 w_i * B tokens. Without a budget B is the least at which every source is used up at least once, so
 that mixing repeats small sources and drops nothing.
 
-A source's documents are laid out in `blocks` blocks by a hash, the blocks in a pseudo-random order
-and the documents within a block in another: an epoch's permutation. Only blocks' totals are summed
-in order over a source, so no task ever sorts a whole source. b_i is spent on whole epochs and then
-on the leading documents of one more. A placement's `position` is the share of its source's budget
+A source's documents are laid out in blocks by a hash, the blocks in a pseudo-random order and the
+documents within a block in another: an epoch's permutation. There are as many blocks as keep a block
+to about ROWS rows even if one source has them all. Only blocks' totals are summed in order over a
+source, so no task ever sorts a whole source. b_i is spent on whole epochs and then on the leading
+documents of one more: those up to one place in the permutation, which a row a source tells. A placement's `position` is the share of its source's budget
 spent before it, so that ordering all placements by it mixes every prefix to the target weights.
 """
 
@@ -22,9 +23,10 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-BLOCKS, MIX_BLOCKS = 256, 1024
-#: Up to so many sources, tables of a row a source and block are broadcast; beyond, they are joined by key.
-SOURCES = 4096
+#: Blocks a source has at least, rows they hold at most (about), and blocks of the mix.
+BLOCKS, ROWS, MIX_BLOCKS = 256, 20_000, 1024
+#: Tables of so many rows are broadcast; longer ones are joined by key.
+BROADCAST = 100_000
 
 
 def weights(totals: dict, exponent: float, counts: dict | None = None) -> dict:
@@ -82,8 +84,8 @@ def with_tokens(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"n_tokens": F.greatest(F.lit(1), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"\S+"))).cast("long"), "mix_source": F.coalesce("source", F.lit(""))})
 
 
-def plan_mix(sized: DataFrame, target_entropy: float | None = None, max_repeats: float | None = None, budget: float | None = None) -> tuple[DataFrame, int]:
-    """(mix_source, weight, budget, total) of each source, and how many there are.
+def plan_mix(sized: DataFrame, target_entropy: float | None = None, max_repeats: float | None = None, budget: float | None = None) -> DataFrame:
+    """(mix_source, weight, budget, total) of each source.
 
     Sources of one total weigh the same, so the driver weighs the distinct totals: at most the square
     root of twice the tokens, however many sources there are.
@@ -97,38 +99,48 @@ def plan_mix(sized: DataFrame, target_entropy: float | None = None, max_repeats:
         whole = budget or full_budget(distinct, w)
         by_total = [(n, w[n], float(w[n] * whole)) for n in distinct]
     weighed = sized.sparkSession.createDataFrame(by_total, "total long, weight double, budget double")
-    return materialize(totals.join(weighed, "total").select("mix_source", "weight", "budget", "total"), "sources"), sum(counts.values())
+    return materialize(totals.join(weighed, "total").select("mix_source", "weight", "budget", "total"), "sources")
 
 
-def small(df: DataFrame, sources: int) -> DataFrame:
-    """A table of source by block, to be broadcast where the sources are few."""
-    return F.broadcast(df) if sources <= SOURCES else df
+def small(df: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if its rows are few."""
+    return F.broadcast(df) if df.count() <= BROADCAST else df
+
+
+def block_count(sized: DataFrame, least: int = BLOCKS) -> int:
+    return max(least, math.ceil(sized.count() / ROWS))
 
 
 def laid_out(sized: DataFrame, seed: int, blocks: int) -> DataFrame:
-    """Adds a row's place in its source's permutation: block and order within it. Equal rows have one place."""
+    """Adds a row's place in its source's permutation: block, the block's turn, and order within it.
+    Equal rows have one place."""
     order = F.xxhash64(F.lit(seed), "mix_source", "doc_id", "row_hash")
-    return sized.withColumn("order", order).withColumn("block", F.pmod(F.xxhash64(F.lit(seed + 1), "order"), F.lit(blocks)).cast("int"))
+    laid = sized.withColumn("order", order).withColumn("block", F.pmod(F.xxhash64(F.lit(seed + 1), "order"), F.lit(blocks)).cast("int"))
+    return laid.withColumn("turn", F.xxhash64(F.lit(seed), "mix_source", "block"))
 
 
-def block_plan(laid: DataFrame, sources: DataFrame, count: int, seed: int) -> DataFrame:
-    """(mix_source, block, weight, budget, total, before_block, full, last): the tokens of the blocks
-    before, the number of whole epochs, and the greatest order that the last, partial epoch takes of
-    the block (null: none). At most blocks x sources rows."""
-    per_block = laid.groupBy("mix_source", "block").agg(F.sum("n_tokens").alias("in_block"), F.max("order").alias("top"))
-    over = Window.partitionBy("mix_source").orderBy(F.xxhash64(F.lit(seed), "mix_source", "block"), "block").rowsBetween(Window.unboundedPreceding, -1)
-    plan = per_block.withColumn("before_block", F.coalesce(F.sum("in_block").over(over), F.lit(0))).join(small(sources, count), "mix_source")
+def block_plan(laid: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Blocks (mix_source, block, before_block), the tokens of the blocks before, and sources
+    (mix_source, weight, budget, total, full, last): the number of whole epochs, and the last place
+    (turn, block, order) that one more, partial epoch takes, null for none."""
+    per_block = laid.groupBy("mix_source", "turn", "block").agg(F.sum("n_tokens").alias("in_block"), F.max("order").alias("top"))
+    over = Window.partitionBy("mix_source").orderBy("turn", "block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = per_block.withColumn("before_block", F.coalesce(F.sum("in_block").over(over), F.lit(0)))
     full = F.floor(F.col("budget") / F.col("total") + 1e-9)
     room = F.col("budget") - full * F.col("total") - F.col("before_block") + 1e-6
-    plan = materialize(plan.withColumns({"full": full.cast("int"), "room": room}), "blocks")
-    split = plan.where("room > 0 and room < in_block").select("mix_source", "block", "room")
+    blocks = materialize(blocks.join(small(sources), "mix_source").withColumns({"full": full.cast("int"), "room": room}), "blocks")
+    # A source's room ends within one of its blocks at most; only that one's rows are summed in order.
+    split = materialize(blocks.where("room > 0 and room < in_block").select("mix_source", "block", "room"), "split")
     within = Window.partitionBy("mix_source", "block").orderBy("order").rangeBetween(Window.unboundedPreceding, 0)
-    cuts = laid.join(small(split, count), ["mix_source", "block"]).withColumn("reached", F.sum("n_tokens").over(within)).where("reached <= room").groupBy("mix_source", "block").agg(F.max("order").alias("cut"))
-    return materialize(plan.join(cuts, ["mix_source", "block"], "left").withColumn("last", F.when(F.col("room") >= F.col("in_block"), F.col("top")).otherwise(F.col("cut"))).drop("cut", "top", "room", "in_block"), "plan")
+    cuts = laid.join(small(split), ["mix_source", "block"]).withColumn("reached", F.sum("n_tokens").over(within)).where("reached <= room").select("mix_source", F.struct("turn", "block", "order").alias("last"))
+    ends = blocks.where("room >= in_block").select("mix_source", F.struct("turn", "block", F.col("top").alias("order")).alias("last"))
+    last = cuts.union(ends).groupBy("mix_source").agg(F.max("last").alias("last"))
+    known = sources.withColumn("full", full.cast("int")).join(last, "mix_source", "left")
+    return blocks.select("mix_source", "block", "before_block"), materialize(known, "plan")
 
 
 def epochs() -> F.Column:
-    return F.col("full") + F.coalesce((F.col("order") <= F.col("last")).cast("int"), F.lit(0))
+    return F.col("full") + F.coalesce((F.struct("turn", "block", "order") <= F.col("last")).cast("int"), F.lit(0))
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -144,11 +156,12 @@ def mix(docs: DataFrame, target_entropy: float | None = None, max_repeats: float
     empty table gives an empty result; further columns are ignored.
     """
     sized = materialize(_sized(docs.select(F.col("doc_id").cast("long"), "source", "text")).select("mix_source", "doc_id", "row_hash", "n_tokens"), "sized")
-    sources, count = plan_mix(sized, target_entropy, max_repeats, budget)
-    laid = laid_out(sized, seed, blocks)
-    plan = block_plan(laid, sources, count, seed)
+    sources = plan_mix(sized, target_entropy, max_repeats, budget)
+    laid = laid_out(sized, seed, block_count(sized, blocks))
+    before, plan = block_plan(laid, sources)
     inside = Window.partitionBy("mix_source", "block").orderBy("order").rowsBetween(Window.unboundedPreceding, -1)
-    placed = laid.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(small(plan, count), ["mix_source", "block"]).withColumn("epochs", epochs()).where("epochs > 0")
+    placed = laid.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(small(before), ["mix_source", "block"]).join(small(plan), "mix_source")
+    placed = placed.withColumn("epochs", epochs()).where("epochs > 0")
     placed = placed.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)))
     position = F.least((F.col("epoch") * F.col("total") + F.col("before_block") + F.col("inside")) / F.col("budget"), F.lit(1.0))
     placed = placed.withColumn("position", position)
@@ -156,17 +169,18 @@ def mix(docs: DataFrame, target_entropy: float | None = None, max_repeats: float
 
 
 def mixed_documents(docs: DataFrame, target_entropy: float | None = None, max_repeats: float | None = 2.0, budget: float | None = None, seed: int = 7, blocks: int = BLOCKS) -> DataFrame:
-    """documents, each row as many times as the mix places it, with their own columns. A row's
-    copies follow from its hash and the table of block_plan(); texts are not shuffled unless there are
-    more than SOURCES sources."""
+    """documents, each row as many times as the mix places it, with their own columns. A row's copies
+    follow from its hash and its source's row of block_plan(), so texts are not shuffled unless there
+    are more than BROADCAST sources."""
     names = docs.columns
     slim = docs.select(*(c for c in ("doc_id", "source", "text") if c in names))
     sized = materialize(_sized(slim).select("mix_source", "doc_id", "row_hash", "n_tokens"), "sized")
-    sources, count = plan_mix(sized, target_entropy, max_repeats, budget)
-    if not count:
+    sources = plan_mix(sized, target_entropy, max_repeats, budget)
+    if sources.isEmpty():
         return docs
-    plan = block_plan(laid_out(sized, seed, blocks), sources, count, seed).select("mix_source", "block", "full", "last")
+    many = block_count(sized, blocks)
+    _, plan = block_plan(laid_out(sized, seed, many), sources)
     own = docs.select(F.struct(*names).alias("row"))
     keyed = own.select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.xxhash64("row.text").alias("row_hash"), F.coalesce("row.source", F.lit("")).alias("mix_source"))
-    placed = laid_out(keyed, seed, blocks).join(small(plan, count), ["mix_source", "block"]).withColumn("epochs", epochs()).where("epochs > 0")
+    placed = laid_out(keyed, seed, many).join(small(plan), "mix_source").withColumn("epochs", epochs()).where("epochs > 0")
     return placed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("epochs")))).select("row.*")

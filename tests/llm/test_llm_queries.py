@@ -304,8 +304,49 @@ def test_mixing(spark, odd):
     assert mixing.mix(odd.limit(0)).count() == 0 and mixing.mixed_documents(odd.limit(0)).count() == 0
 
 
-def test_more_sources_than_are_broadcast(spark):
+@pytest.mark.parametrize("budget, repeats", [(None, 2.5), (700, 3.0), (3000, 1.5)])
+def test_mixing_by_brute_force(spark, budget, repeats):
+    """Every placement of every row, from the definition: blocks in order of their turns, rows in theirs."""
+    rng = random.Random(17)
+    rows = [(rng.choice([None, *range(200)]), rng.choice([None, "", *[f"{w} " * rng.randint(1, 9) for w in "abcdef"]]), rng.choice(["big"] * 8 + ["mid"] * 3 + ["low", None])) for _ in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    blocks = 7
+    laid = mixing.laid_out(mixing._sized(docs), 7, blocks).collect()
+    of = {}
+    for r in laid:
+        assert r["n_tokens"] == max(1, len((r["text"] or "").split())) and 0 <= r["block"] < blocks
+        of.setdefault(r["mix_source"], []).append(r)
+    totals = {s: sum(r["n_tokens"] for r in x) for s, x in of.items()}
+    w = mixing.weights(totals, mixing.find_exponent(totals, max_repeats=repeats, budget=budget))
+    whole = budget or max(n / w[s] for s, n in totals.items())
+    want = Counter()
+    for source, own in of.items():
+        own.sort(key=lambda r: (r["turn"], r["block"], r["order"]))
+        spend = w[source] * whole
+        full = int(spend // totals[source] + 1e-9)
+        at = 0
+        for place in sorted({(r["turn"], r["block"], r["order"]) for r in own}):
+            group = [r for r in own if (r["turn"], r["block"], r["order"]) == place]
+            at += sum(r["n_tokens"] for r in group)
+            times = full + (at <= spend - full * totals[source] + 1e-6)
+            for r in group:
+                want.update((r["doc_id"], source, r["n_tokens"], e) for e in range(times))
+    got = mixing.mix(docs, max_repeats=repeats, budget=budget, blocks=blocks).collect()
+    assert Counter((r["doc_id"], r["source"], r["n_tokens"], r["epoch"]) for r in got) == want
+    assert all(r["weight"] == pytest.approx(w[r["source"]]) for r in got)
+    seen = {}
+    for r in sorted(got, key=lambda r: (r["source"], r["position"])):
+        before = seen.get(r["source"], 0)
+        assert r["position"] == pytest.approx(min(1.0, before / (w[r["source"]] * whole)), abs=1e-9)
+        assert r["mix_block"] == min(1023, int(r["position"] * 1024))
+        seen[r["source"]] = before + r["n_tokens"]
+    copies = mixing.mixed_documents(docs, max_repeats=repeats, budget=budget, blocks=blocks).collect()
+    assert Counter((r["doc_id"], r["source"] or "") for r in copies) == Counter((r["doc_id"], r["source"]) for r in got)
+
+
+def test_more_sources_than_are_broadcast(spark, monkeypatch):
     """Each of 5,000 hosts is a source: all are weighed and placed, as a driver's weights would have it."""
+    monkeypatch.setattr(mixing, "BROADCAST", 1000)
     rows = [(k, "w " * (1 + k % 50), f"h{k % 5000}") for k in range(6000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     totals = Counter()
