@@ -32,7 +32,7 @@ def op2_toxicity(spark, sf_dir):
 
 
 def op3_url_filters(spark, sf_dir):
-    return url_filter.judge_urls(table(spark, sf_dir, "pages"), RULES)
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op4_token_counts(spark, sf_dir):
@@ -69,6 +69,27 @@ QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_toxicity, op3_url
 #: Both read `embeddings` and `pages` whole. On these pages links stay within their host, so trust and
 #: distrust stay where they start and a host's verdict follows from its share of the seeds.
 ORACLE_SQL: dict[str, str] = {
+    "op3_url_filters": """
+WITH rules(verdict, host, path) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+rest AS (SELECT page_id, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+parts AS (
+    SELECT row_number() OVER () AS no, page_id, html, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+        coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path
+    FROM rest),
+fits AS (
+    SELECT p.no, r.verdict, r.host || r.path AS rule, row_number() OVER (PARTITION BY p.no ORDER BY length(r.host || r.path) DESC) AS turn
+    FROM parts p JOIN rules r ON (p.host = r.host OR p.host LIKE '%.' || r.host) AND starts_with(p.path, r.path)),
+judged AS (SELECT p.*, f.rule, f.verdict FROM parts p LEFT JOIN fits f ON f.no = p.no AND f.turn = 1),
+links AS (SELECT host, unnest(regexp_extract_all(html, '(?i)(?:^|[^\\w-])href\\s*=\\s*["'']?([^"''\\s>]+)', 1)) AS href FROM parts WHERE host <> ''),
+own AS (SELECT DISTINCT host FROM links),
+mass AS (
+    SELECT host, count(*) FILTER (verdict = 'allow') / sum(count(*) FILTER (verdict = 'allow')) OVER () AS trust, count(*) FILTER (verdict = 'block') / sum(count(*) FILTER (verdict = 'block')) OVER () AS distrust
+    FROM judged WHERE host <> '' GROUP BY host),
+spread AS (SELECT m.host, m.trust * CASE WHEN o.host IS NULL THEN 1 ELSE 1 / 0.15 END AS trust, m.distrust * CASE WHEN o.host IS NULL THEN 1 ELSE 1 / 0.15 END AS distrust FROM mass m LEFT JOIN own o USING (host)),
+ranks AS (SELECT host, coalesce(trust / nullif(sum(trust) OVER (), 0), 0) AS trust, coalesce(distrust / nullif(sum(distrust) OVER (), 0), 0) AS distrust FROM spread)
+SELECT j.page_id, j.host, j.path, j.rule, coalesce(j.verdict, CASE WHEN r.distrust > r.trust * (1 + 1e-9) THEN 'block' END, 'allow') AS verdict
+FROM judged j LEFT JOIN ranks r USING (host)
+""",
     "op8_exact_top_k": """
 WITH sound AS (
     SELECT row_number() OVER () AS no, CAST(vec_id AS BIGINT) AS vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS terms

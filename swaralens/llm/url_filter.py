@@ -68,7 +68,7 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
 def host_edges(pages: DataFrame) -> DataFrame:
     """(src, dst, weight) from the href values of pages (host, html). A link without a host stays on
     its page's host. Pages without a host give no edge."""
-    links = pages.where("host <> ''").select("host", F.explode(F.regexp_extract_all("html", F.lit(r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)"""), F.lit(1))).alias("href"))
+    links = pages.where("host <> ''").select("host", F.explode(F.regexp_extract_all("html", F.lit(r"""(?i)(?<![\w-])href\s*=\s*["']?([^"'\s>]+)"""), F.lit(1))).alias("href"))
     outer = F.regexp_extract("href", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]+)", 1)
     inner = ~F.col("href").rlike(r"^(?:#|[A-Za-z][A-Za-z0-9+.-]*:)")
     dst = F.when(outer != "", F.translate(outer, UPPER, LOWER)).when(inner, F.col("host"))

@@ -249,6 +249,12 @@ def test_link_graph(spark):
     assert {r["rule"] for r in got if r["host"] == "bad.example"} == {"bad.example/"}
 
 
+def test_link_values(spark):
+    html = """<a href="https://B.example/x"> <a HREF = '//c.example'> <a data-href="https://no.example/"> <a href=/own> <a href="#here"> <a href="mailto:x@y.example"> <a xhref="https://no.example/">"""
+    got = url_filter.host_edges(spark.createDataFrame([("a.example", html), ("", html), ("z.example", None)], "host string, html string")).collect()
+    assert {(r["src"], r["dst"], r["weight"]) for r in got} == {("a.example", "b.example", 1.0), ("a.example", "c.example", 1.0), ("a.example", "a.example", 1.0)}
+
+
 def test_long_chains_of_links(spark):
     """A chain of 40 hosts that ends at a blocked seed: who links to it at any distance is suspect."""
     page = lambda k, *to: (k, f"https://h{k}.example/x", " ".join(f'<a href="https://h{t}.example/y">' for t in to))
