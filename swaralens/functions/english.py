@@ -5,23 +5,40 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .lexicons import IDIOMS, LOAN_SPELLINGS, TO_DEVANAGARI, literal_array, literal_map
+from .lexicons import IDIOMS, TO_DEVANAGARI, literal_array, literal_map
 from .numbers import normalize_numbers
-from .text import BLANK, SOLID, col, is_latin_token, is_number, is_punctuation, is_roman_word, tokens
+from .text import BLANK, FOREIGN, SOLID, col, is_latin_token, is_roman_word, tokens
 
 OPEN, CLOSE = "[EN]", "[/EN]"
 
 
+#: A word with a letter, entered at its start only.
+LETTERED = rf"(?U)(?<!{SOLID})[^\s\x1c-\x1f\p{{L}}]*+\p{{L}}{SOLID}*+"
+
+
 def is_english_token(t: Column) -> Column:
-    """A token that is to be tagged: no blank, punctuation, number or known loanword, and mostly Latin letters."""
-    return ~is_punctuation(t) & ~is_number(t) & ~F.array_contains(literal_array(LOAN_SPELLINGS[:27]), t) & is_latin_token(t)
+    """A token that is to be tagged: mostly Latin letters. Blanks, punctuation and numbers have none,
+    and the loanwords that stay as they are have Devanagari ones."""
+    return is_latin_token(t)
 
 
 def detect_english(c: Column | str) -> Column:
-    """Struct (tagged, words). Blanks stay as they are; punctuation at a word is tagged with it."""
-    parts = F.regexp_extract_all(col(c), F.lit(f"(?U)({BLANK}+|{SOLID}+)"), F.lit(1))
-    tagged = F.array_join(F.transform(parts, lambda t: F.when(is_english_token(t), F.concat(F.lit(OPEN), t, F.lit(CLOSE))).otherwise(t)), "")
-    return F.struct(tagged.alias("tagged"), F.filter(parts, is_english_token).alias("words"))
+    """Struct (tagged, words). Blanks stay as they are; punctuation at a word is tagged with it.
+
+    In a text without letters beyond Latin-1 the words with a letter are the English ones, which one
+    pattern finds; other texts are read token by token."""
+    c = col(c)
+    parts = F.regexp_extract_all(c, F.lit(f"(?U)({BLANK}+|{SOLID}+)"), F.lit(1))
+    read = F.transform(parts, lambda t: F.struct(t.alias("t"), is_english_token(t).alias("english")))
+
+    def tagged(all_: Column) -> Column:
+        joined = F.array_join(F.transform(all_, lambda x: F.when(x["english"], F.concat(F.lit(OPEN), x["t"], F.lit(CLOSE))).otherwise(x["t"])), "")
+        return F.struct(joined.alias("tagged"), F.transform(F.filter(all_, lambda x: x["english"]), lambda x: x["t"]).alias("words"))
+
+    # As the one element of an array, the tokens are read once for both fields.
+    slow = F.element_at(F.transform(F.array(read), tagged), 1)
+    fast = F.struct(F.regexp_replace(c, f"({LETTERED})", r"\[EN\]$1\[/EN\]").alias("tagged"), F.regexp_extract_all(c, F.lit(f"({LETTERED})"), F.lit(1)).alias("words"))
+    return F.when(c.rlike(FOREIGN), slow).when(c.isNotNull(), fast).otherwise(F.struct(F.lit(None).cast("string").alias("tagged"), F.lit(None).cast("array<string>").alias("words")))
 
 
 def strip_tags(c: Column | str) -> Column:

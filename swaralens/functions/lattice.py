@@ -1,11 +1,16 @@
 """Word alignment and word-lattice scoring.
 
-Alignment paths need a traceback, so they run as Arrow UDFs on token arrays; variants are native.
+Alignment paths need a traceback, so they run in Python on Arrow batches; variants are native. A pair
+takes one byte a cell of about the square root of its rows: blocks of rows are worked out again on the
+way back, so texts of many thousand words fit.
 Ties are broken in one order everywhere: substitution or match, then deletion, then insertion.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -45,38 +50,72 @@ def variants(word: Column | str) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.transform(found, form), lambda v: v != "")))
 
 
-def _path(match: np.ndarray) -> list[tuple[int, int]]:
-    """The alignment as (i, j) pairs; -1 is a gap. match tells which i and j are equal. A row of the cost
-    table takes a few array operations: insertions within it are a running minimum."""
-    n, m = match.shape
+def _next_row(cost: np.ndarray, unlike: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The next row of the cost table, and what it costs by a match or substitution and by a deletion.
+    Insertions within a row are a running minimum."""
+    diagonal = cost[:-1] + unlike
+    down = cost + 1
+    best = down.copy()
+    np.minimum(best[1:], diagonal, out=best[1:])
+    return np.minimum.accumulate(best - steps) + steps, diagonal, down
+
+
+def _moves(cost: np.ndarray, rows: range, unlike, steps: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The moves into a block of rows, a byte a cell: 0 match or substitution, 1 deletion, 2 insertion."""
+    out = np.ones((len(rows), len(steps)), np.uint8)
+    for k, i in enumerate(rows):
+        cost, diagonal, down = _next_row(cost, unlike(i), steps)
+        row = out[k, 1:]
+        row[cost[1:] != down[1:]] = 2
+        row[cost[1:] == diagonal] = 0
+    return out.tobytes(), cost
+
+
+def path(n: int, m: int, unlike: Callable[[int], np.ndarray], block: int | None = None) -> list[tuple[int, int]]:
+    """The alignment of n and m words as (i, j) pairs; -1 is a gap. unlike(i) tells which j differ from i."""
     steps = np.arange(m + 1)
-    cost = np.empty((n + 1, m + 1), np.int64)
-    cost[0] = steps
-    for i in range(n):
-        cost[i + 1] = cost[i] + 1
-        np.minimum(cost[i + 1, 1:], cost[i, :-1] + np.logical_not(match[i]), out=cost[i + 1, 1:])
-        cost[i + 1] = np.minimum.accumulate(cost[i + 1] - steps) + steps
-    table, same = cost.tolist(), match.tolist()
+    block = block or max(256, math.isqrt(n))
+    blocks = [range(a, min(a + block, n)) for a in range(0, n, block)]
+    first, cost = [], steps
+    for rows in blocks[:-1]:
+        first.append(cost)
+        for i in rows:
+            cost = _next_row(cost, unlike(i), steps)[0]
+    first.append(cost)
     out = []
-    i, j = n, m
-    while i or j:
-        here = table[i][j]
-        if i and j and here == table[i - 1][j - 1] + (not same[i - 1][j - 1]):
-            i, j = i - 1, j - 1
-            out.append((i, j))
-        elif i and here == table[i - 1][j] + 1:
-            i -= 1
-            out.append((i, -1))
-        else:
-            j -= 1
-            out.append((-1, j))
+    i, j, width = n, m, m + 1
+    for rows, start in zip(reversed(blocks), reversed(first)):
+        table, _ = _moves(start, rows, unlike, steps)
+        while i > rows.start:
+            move = table[(i - 1 - rows.start) * width + j]
+            i -= move < 2
+            j -= move != 1
+            out.append((i if move < 2 else -1, j if move != 1 else -1))
+    out += [(-1, k) for k in range(j - 1, -1, -1)]
     return out[::-1]
 
 
-def _equal(x: list, y: list) -> np.ndarray:
-    numbers: dict = {}
-    a, b = (np.array([numbers.setdefault(t, len(numbers)) for t in side], np.int64) for side in (x, y))
-    return a[:, None] == b
+def align_words(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """The path of two lists of words, whatever their case."""
+    numbers: dict[str, int] = {}
+    a, b = (np.array([numbers.setdefault(t.lower(), len(numbers)) for t in side], np.int64) for side in (x, y))
+    return path(len(a), len(b), lambda i: b != a[i])
+
+
+def score_bins(sets: list[frozenset[str]], words: list[str]) -> tuple[int, int, int]:
+    """Substitutions, deletions and insertions of words against bins of forms."""
+    places: dict[str, list[int]] = {}
+    for j, w in enumerate(words):
+        places.setdefault(w, []).append(j)
+
+    def unlike(i: int) -> np.ndarray:
+        out = np.ones(len(words), bool)
+        for v in sets[i] & places.keys():
+            out[places[v]] = False
+        return out
+
+    found = path(len(sets), len(words), unlike)
+    return sum(i >= 0 and j >= 0 and words[j] not in sets[i] for i, j in found), sum(j < 0 for _, j in found), sum(i < 0 for i, _ in found)
 
 
 @F.pandas_udf(ALIGNED)
@@ -86,8 +125,7 @@ def align(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
     def one(r, h):
         if r is None or h is None:
             return None
-        x, y = [t.lower() for t in r], [t.lower() for t in h]
-        return [{"ref": r[i] if i >= 0 else None, "hyp": h[j] if j >= 0 else None} for i, j in _path(_equal(x, y))]
+        return [{"ref": r[i] if i >= 0 else None, "hyp": h[j] if j >= 0 else None} for i, j in align_words(r, h)]
 
     return pd.Series([one(r, h) for r, h in zip(reference, hypothesis)], dtype=object)
 
@@ -100,10 +138,7 @@ def lattice_wer(bins: pd.Series, hypothesis: pd.Series) -> pd.DataFrame:
     for b, h in zip(bins, hypothesis):
         sets = [frozenset(x) for x in (b if b is not None else ())]
         words = [t.strip().lower() for t in (h if h is not None else ())]
-        path = _path(np.array([[w in x for w in words] for x in sets], bool).reshape(len(sets), len(words))) if sets else [(-1, j) for j in range(len(words))]
-        s = sum(i >= 0 and j >= 0 and words[j] not in sets[i] for i, j in path)
-        d = sum(j < 0 for _, j in path)
-        n = sum(i < 0 for i, _ in path)
+        s, d, n = score_bins(sets, words)
         rate = round((s + d + n) / len(sets) * 100, 2) if sets else 0.0
         rows.append((rate, s, d, n, len(sets), len(words), s + d + n))
     out = pd.DataFrame(rows, columns=["wer", *PARTS])

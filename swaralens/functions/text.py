@@ -73,11 +73,16 @@ def is_roman_word(c: Column | str) -> Column:
     return _share(col(c), "A-Za-z") > 0.6
 
 
+#: A letter beyond Latin-1.
+FOREIGN = r"[\p{L}&&[^\x{0000}-\x{00FF}]]"
+
+
 def is_latin_token(c: Column | str) -> Column:
-    """More than half of the letters are Latin-1; no letters: false."""
+    """More than half of the letters are Latin-1; no letters: false. Only tokens with other letters
+    need their letters counted."""
     letters = F.regexp_replace(col(c), r"\P{L}", "")
     latin = F.regexp_replace(letters, r"[^\x{0000}-\x{00FF}]", "")
-    return (F.length(letters) > 0) & (F.length(latin) * 2 > F.length(letters))
+    return F.when(col(c).rlike(FOREIGN), F.length(latin) * 2 > F.length(letters)).otherwise(col(c).rlike(r"\p{L}"))
 
 
 def has_ascii_letter(c: Column | str) -> Column:

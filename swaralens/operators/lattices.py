@@ -7,10 +7,14 @@ never meet in one Python call.
 
 from __future__ import annotations
 
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from ..functions.lattice import align, form, lattice_tokens, lattice_wer, variants, verdict
+from ..functions.lattice import align_words, form, lattice_tokens, lattice_wer, variants, verdict
 from ..functions.metrics import standard_wer
 from ..functions.text import is_blank, round_even
 
@@ -29,12 +33,33 @@ def with_enough_models(hyps: DataFrame, least: int = 2) -> DataFrame:
     return hyps.join(many.select("utt_id"), "utt_id", "left_semi")
 
 
+#: Pairs whose alignment columns leave Python at once.
+PAIRS = 512
+
+
 def alignments(hyps: DataFrame) -> DataFrame:
-    """(utt_id, model_ord, pos, ref, hyp): one row an alignment column of a model."""
-    pairs = hyps.select("utt_id", "model_ord", align(lattice_tokens("reference"), lattice_tokens("hyp")).alias("pairs"))
-    # The outer form: a plain explode would put a filter on the pairs, and so align every row twice.
-    columns = pairs.select("utt_id", "model_ord", F.posexplode_outer("pairs").alias("pos", "pair")).where("pos is not null")
-    return columns.select("utt_id", "model_ord", "pos", "pair.ref", "pair.hyp")
+    """(utt_id, model_ord, pos, ref, hyp): one row an alignment column of a model. A null reference or
+    hypothesis has none."""
+    schema = StructType([hyps.schema["utt_id"], hyps.schema["model_ord"], StructField("pos", IntegerType()), StructField("ref", StringType()), StructField("hyp", StringType())])
+
+    def run(batches):
+        for whole in batches:
+            for a in range(0, whole.num_rows, PAIRS):
+                batch = whole.slice(a, PAIRS)
+                row, pos, ref, hyp = [], [], [], []
+                for k, pair in enumerate(zip(batch.column("reference").to_pylist(), batch.column("hyp").to_pylist())):
+                    if None in pair:
+                        continue
+                    x, y = (unicodedata.normalize("NFC", t).split() for t in pair)
+                    found = align_words(x, y)
+                    row += [k] * len(found)
+                    pos += range(len(found))
+                    ref += [x[i] if i >= 0 else None for i, _ in found]
+                    hyp += [y[j] if j >= 0 else None for _, j in found]
+                at = pa.array(row, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("utt_id").take(at), batch.column("model_ord").take(at), pa.array(pos, pa.int32()), pa.array(ref, pa.string()), pa.array(hyp, pa.string())], names=schema.names)
+
+    return hyps.select("utt_id", "model_ord", F.col("reference").cast("string"), F.col("hyp").cast("string")).mapInArrow(run, schema)
 
 
 def bins(aligned: DataFrame, mode: str = "column", threshold: float = 0.6) -> DataFrame:
@@ -70,12 +95,26 @@ def lattices(hyps: DataFrame, mode: str = "column", threshold: float = 0.6) -> D
 
 def evaluate(hyps: DataFrame, mode: str = "column", threshold: float = 0.6) -> DataFrame:
     """Scores of every hypothesis: standard and lattice error rate, their parts, and whether the
-    lattice is fairer. Utterances without a lattice score 0.0 on it."""
+    lattice is fairer. Utterances without a lattice score 0.0 on it. Hypotheses are dealt by utterance
+    once, for the alignment and for meeting their lattice again."""
+    hyps = hyps.repartition(int(hyps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "utt_id")
     joined = hyps.join(lattices(hyps, mode, threshold), "utt_id", "left")
     scored = joined.select("utt_id", "model_ord", "model", standard_wer("reference", "hyp").alias("standard_wer"), lattice_wer(F.coalesce("lattice", F.array().cast("array<array<string>>")), lattice_tokens("hyp")).alias("s"))
     return scored.select("utt_id", "model_ord", "model", "standard_wer", F.col("s.wer").alias("lattice_wer"), "s.substitutions", "s.deletions", "s.insertions", F.col("s.ref_length").alias("bins"), "s.hyp_length", (F.col("s.wer") < F.col("standard_wer")).alias("improved"), verdict(F.col("standard_wer"), F.col("s.wer")).alias("verdict"))
 
 
+def lattice_report(hyps: DataFrame, mode: str = "column", threshold: float = 0.6) -> DataFrame:
+    """One row an utterance: reference, threshold, the lattice (position, its variants and how many),
+    and each model's scores with its verdict, in order of models."""
+    bin_ = F.struct(F.col("position"), F.col("variants"), F.size("variants").alias("size"))
+    dump = bins(alignments(hyps), mode, threshold).groupBy("utt_id").agg(F.array_sort(F.collect_list(bin_)).alias("lattice"))
+    score = F.struct("model_ord", "model", "hyp_length", "standard_wer", "lattice_wer", "substitutions", "deletions", "insertions", "improved", "verdict")
+    scores = evaluate(hyps, mode, threshold).groupBy("utt_id").agg(F.array_sort(F.collect_list(score)).alias("models"))
+    texts = hyps.groupBy("utt_id").agg(F.min_by("reference", "model_ord").alias("reference"))
+    out = texts.join(dump, "utt_id", "left").join(scores, "utt_id", "left")
+    return out.select("utt_id", "reference", F.lit(threshold).alias("threshold"), F.coalesce(F.size("lattice"), F.lit(0)).alias("bins"), "lattice", "models")
+
+
 def model_averages(scores: DataFrame, digits: int = 2) -> DataFrame:
     """Mean rates of each model over *all* utterances, also those it has no hypothesis for."""
     n = scores.agg(F.countDistinct("utt_id").alias("utterances"))

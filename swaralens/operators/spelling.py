@@ -17,13 +17,20 @@ def _neighbours(word: str) -> Column:
     return F.explode_outer(F.when(F.length(word) > 1, pairs))
 
 
+def word_counts(corpus: DataFrame, column: str = "line") -> DataFrame:
+    """(w, n): the composed words of a corpus. Words are counted before Python composes them, so it sees
+    each once."""
+    counts = corpus.select(F.explode(tokens(column)).alias("raw")).groupBy("raw").agg(F.count("*").alias("n"))
+    return counts.select(nfc("raw").alias("w"), "n")
+
+
 def char_counts(corpus: DataFrame, column: str = "line") -> tuple[DataFrame, DataFrame]:
     """(char, n) and (prev, char, n): characters and neighbours within the words of a corpus."""
-    words = corpus.select(F.explode(tokens(column)).alias("w")).select(nfc("w").alias("w"))
+    words = word_counts(corpus, column)
     at = F.sequence(F.lit(1), F.length("w"))
-    single = words.select(F.explode(F.transform(at, lambda k: F.substr("w", k, F.lit(1)))).alias("char"))
-    pairs = words.select(_neighbours("w").alias("p")).where("p is not null")
-    return single.groupBy("char").agg(F.count("*").alias("n")), pairs.select("p.*").groupBy("prev", "char").agg(F.count("*").alias("n"))
+    single = words.select(F.explode(F.transform(at, lambda k: F.substr("w", k, F.lit(1)))).alias("char"), "n")
+    pairs = words.select(_neighbours("w").alias("p"), "n").where("p is not null")
+    return single.groupBy("char").agg(F.sum("n").alias("n")), pairs.select("p.*", "n").groupBy("prev", "char").agg(F.sum("n").alias("n"))
 
 
 def bigram_scores(words: DataFrame, unigrams: DataFrame, bigrams: DataFrame, word: str = "word") -> DataFrame:

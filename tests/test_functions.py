@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from swaralens.functions import english, lexicons, metrics, numbers, spell, text
-from swaralens.functions.lattice import _equal, _path
+from swaralens.functions.lattice import align_words, path, score_bins
 
 
 def one(spark, value, f, kind="string"):
@@ -94,8 +94,73 @@ def test_token_distance_is_a_metric(spark):
     d = lambda x, y: metrics.token_distance(F.col(x), F.col(y))
     for r in df.select(d("a", "a").alias("aa"), d("a", "b").alias("ab"), d("b", "a").alias("ba"), d("b", "c").alias("bc"), d("a", "c").alias("ac"), "a", "b").collect():
         assert r["aa"] == 0 and r["ab"] == r["ba"] and r["ac"] <= r["ab"] + r["bc"]
-        path = _path(_equal(r["a"], r["b"]))
-        assert r["ab"] == sum(i < 0 or j < 0 or r["a"][i] != r["b"][j] for i, j in path)
+        found = align_words(r["a"], r["b"])
+        assert r["ab"] == sum(i < 0 or j < 0 or r["a"][i] != r["b"][j] for i, j in found)
+
+
+def naive_path(n, m, same):
+    """By the whole table: a match or substitution before a deletion before an insertion, from the end."""
+    cost = [[i + j if not i or not j else 0 for j in range(m + 1)] for i in range(n + 1)]
+    for i in range(1, n + 1):
+        for j in range(1, m + 1):
+            cost[i][j] = min(cost[i - 1][j - 1] + (not same(i - 1, j - 1)), cost[i - 1][j] + 1, cost[i][j - 1] + 1)
+    out, i, j = [], n, m
+    while i or j:
+        if i and j and cost[i][j] == cost[i - 1][j - 1] + (not same(i - 1, j - 1)):
+            i, j = i - 1, j - 1
+            out.append((i, j))
+        elif i and cost[i][j] == cost[i - 1][j] + 1:
+            i -= 1
+            out.append((i, -1))
+        else:
+            j -= 1
+            out.append((-1, j))
+    return out[::-1]
+
+
+@pytest.mark.parametrize("block", [None, 1, 3])
+def test_paths_by_the_whole_table(block):
+    import numpy as np
+
+    rng = random.Random(4)
+    for _ in range(300):
+        x, y = ([rng.choice("abc") for _ in range(rng.randint(0, 9))] for _ in range(2))
+        want = naive_path(len(x), len(y), lambda i, j: x[i] == y[j])
+        assert path(len(x), len(y), lambda i: np.array([c != x[i] for c in y], bool), block) == want
+        sets = [frozenset(rng.sample("abcd", rng.randint(0, 3))) for _ in x]
+        found = naive_path(len(sets), len(y), lambda i, j: y[j] in sets[i])
+        assert score_bins(sets, y) == (sum(i >= 0 <= j and y[j] not in sets[i] for i, j in found), sum(j < 0 for _, j in found), sum(i < 0 for i, _ in found))
+
+
+def test_long_texts_are_aligned_in_little_memory():
+    import tracemalloc
+
+    rng = random.Random(5)
+    x = [str(rng.randrange(500)) for _ in range(6000)]
+    y = [w for w in x if rng.random() > 0.1]
+    tracemalloc.start()
+    found = align_words(x, y)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 6000 and sum(j < 0 for _, j in found) == 6000 - len(y) and peak < 30e6
+
+
+def test_english_words_in_texts_of_either_kind(spark):
+    """The fast way, for texts without letters beyond Latin-1, finds what the token by token one does."""
+    rng = random.Random(6)
+    given = ["".join(rng.choice("ab1é.,- \t\x1cकŁ") for _ in range(rng.randint(0, 14))) for _ in range(600)] + ["", "x", " ", None]
+
+    def latin(t):
+        letters = [c for c in t if c.isalpha()]
+        return sum(ord(c) < 256 for c in letters) * 2 > len(letters)
+
+    df = spark.createDataFrame([(t,) for t in given], "t string").withColumn("e", english.detect_english("t"))
+    for r in df.collect():
+        if r["t"] is None:
+            assert r["e"]["tagged"] is None
+            continue
+        assert r["e"]["words"] == [w for w in r["t"].split() if latin(w)], r
+        assert english.OPEN.join(r["e"]["tagged"].split(english.OPEN)) == r["e"]["tagged"] and r["e"]["tagged"].replace("[EN]", "").replace("[/EN]", "") == r["t"]
 
 
 def test_virama_and_confidence(spark):

@@ -3,7 +3,8 @@
 import duckdb
 import pytest
 
-from swaralens.plans.queries import ORACLE_SQL, QUERIES
+import swaralens.plans  # noqa: F401  registers the queries
+from swaralens.plans.registry import ORACLE_SQL, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -43,11 +44,11 @@ def test_character_errors_in_any_script(spark, tmp_path):
     texts = ["नमस्ते दुनिया", "नमस्कार दुनियाँ", "été à Zürich", "ete a Zurich", "घर", "धर", "a😀b", "a😁b\n", "ab"]
     spark.createDataFrame([(1, k, "user", t) for k, t in enumerate(texts)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     want = {k: round(edits(a, b) / len(a) * 100, 1) for k, (a, b) in enumerate(zip(texts, texts[1:]), 1)}
-    got = {r["turn"]: r["cer"] for r in QUERIES["cer_turns_by_code_point"](spark, str(tmp_path)).collect()}
+    got = {r["turn"]: r["cer"] for r in QUERIES["cer_turns"](spark, str(tmp_path)).collect()}
     assert got == want and want[5] == 50.0
     con = duckdb.connect()
     con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
-    assert {t: c for _, t, c in con.execute(ORACLE_SQL["cer_turns_by_code_point"]).fetchall()} == want
+    assert {t: c for _, t, c in con.execute(ORACLE_SQL["cer_turns"]).fetchall()} == want
 
 
 def test_entry_points(spark):
