@@ -73,25 +73,34 @@ class Buckets:
 
 
 def _spread(sa: np.ndarray, found: np.ndarray, chars: np.ndarray, edge: np.ndarray, step: int) -> None:
-    """Appends suffixes to their characters' buckets, in order; edge moves by step a suffix."""
-    order = np.argsort(chars, kind="stable")
+    """Appends suffixes to their characters' buckets, in order; edge moves by step a suffix. Most calls
+    place few suffixes, so array calls are spared here."""
+    n = len(chars)
+    order = chars.argsort(kind="stable")
     chars = chars[order]
-    first = np.flatnonzero(np.r_[True, chars[1:] != chars[:-1]])
-    counts = np.diff(np.r_[first, len(chars)])
-    within = np.arange(len(chars)) - np.repeat(first, counts)
+    fresh = np.empty(n, bool)
+    fresh[0] = True
+    np.not_equal(chars[1:], chars[:-1], out=fresh[1:])
+    first = fresh.nonzero()[0]
     used = chars[first]
+    counts = np.empty(len(first), np.int64)
+    np.subtract(first[1:], first[:-1], out=counts[:-1])
+    counts[-1] = n - first[-1]
+    edges = edge[used]
     if step > 0:
-        sa[np.repeat(edge[used], counts) + within] = found[order]
-        edge[used] += counts
+        sa[(edges - first).repeat(counts) + np.arange(n)] = found[order]
+        edge[used] = edges + counts
     else:
-        sa[np.repeat(edge[used], counts) - 1 - within] = found[order]
-        edge[used] -= counts
+        sa[(edges - 1 + first).repeat(counts) - np.arange(n)] = found[order]
+        edge[used] = edges - counts
 
 
 def _runs(found: np.ndarray, before: np.ndarray) -> np.ndarray:
     """The suffixes that a bucket places into itself: before[p] suffixes with its character stand left
     of p. All left neighbours come first, then all of theirs, and so on."""
     many = before[found]
+    if not many.any():
+        return found[:0]
     step = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + 1
     order = np.argsort(step, kind="stable")
     return (np.repeat(found, many) - step)[order]
@@ -132,8 +141,8 @@ def _place(sa, s, small, found, edge, want_small: bool) -> None:
     found = found[found > 0]
     left = found - 1
     chars = s[left]
-    keep = (small[left] == want_small) & (chars != s[found])
-    if keep.any():
+    keep = ((small[left] == want_small) & (chars != s[found])).nonzero()[0]
+    if len(keep):
         _spread(sa, left[keep], chars[keep], edge, -1 if want_small else 1)
 
 
