@@ -83,6 +83,15 @@ def postings(sizes: np.ndarray, values: np.ndarray) -> dict[int, tuple[np.ndarra
     return {int(terms[a]): (rows[a:b], values[a:b]) for a, b in zip(cut, np.r_[cut[1:], len(terms)])}
 
 
+def spread_out(rows: np.ndarray, weights: np.ndarray, n: int, kind) -> tuple[np.ndarray | None, np.ndarray]:
+    """A posting, with a weight for each of n rows (and no positions) if a quarter of them have one."""
+    if len(rows) * 4 < n:
+        return rows, weights.astype(kind)
+    out = np.zeros(n, kind)
+    out[rows] = weights
+    return None, out
+
+
 def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k highest scores, ties to the smaller id, in that order."""
     if len(scores) > k:
@@ -132,25 +141,30 @@ class Queries:
             self._open()
         ids, sizes, values = block
         table = postings(sizes, values)
-        # Scores that might pass 64 bits are summed as Python's integers and then taken to the nearest long.
-        wide = float(self.heavy) * float(np.abs(values.astype(float)).max(initial=0)) * min(self.longest, int(sizes.max(initial=0))) >= 2.0**62
-        kind = object if wide else np.int64
+        # The least width that no score can pass; scores that might pass 64 bits are summed as Python's
+        # integers and then taken to the nearest long.
+        most = float(self.heavy) * float(np.abs(values.astype(float)).max(initial=0)) * min(self.longest, int(sizes.max(initial=0)))
+        kind = np.int32 if most < 2.0**30 else np.int64 if most < 2.0**62 else object
+        table = {t: spread_out(*entry, len(ids), kind) for t, entry in table.items()}
+        product = np.empty((LANES, len(ids)), kind)
         for a, b, lane in self.lanes:
             scores = np.zeros((b - a, len(ids)), kind)
-            for term, (rows, weights) in lane.items():
-                entry = table.get(term)
-                if entry is None:
+            for term, entry in lane.items():
+                if term not in table:
                     continue
-                at, held = entry
-                if wide:
-                    weights, held = weights.astype(object), held.astype(object)
-                if len(at) == len(ids) and len(rows) == b - a:
-                    scores += weights[:, None] * held
-                elif len(at) == len(ids):
-                    scores[rows] += weights[:, None] * held
+                at, held = table[term]
+                rows, weights = spread_out(*entry, b - a, kind)
+                weights = weights[:, None]
+                if at is None and rows is None:
+                    np.multiply(weights, held, out=product[: b - a])
+                    scores += product[: b - a]
+                elif at is None:
+                    scores[rows] += weights * held
+                elif rows is None:
+                    scores[:, at] += weights * held
                 else:
-                    scores[np.ix_(rows, at)] += weights[:, None] * held
-            if wide:
+                    scores[np.ix_(rows, at)] += weights * held
+            if kind is object:
                 scores = np.clip(scores, LEAST, MOST).astype(np.int64)
             for q in range(a, b):
                 self._keep(q, ids, scores[q - a])
@@ -164,7 +178,7 @@ class Queries:
         own = ids == self.ids[q]
         if own.any():
             ids, points = ids[~own], points[~own]
-        ids, points = np.concatenate([self.kept_ids[q], ids]), np.concatenate([self.kept[q], points])
+        ids, points = np.concatenate([self.kept_ids[q], ids]), np.concatenate([self.kept[q], points.astype(np.int64)])
         top = best(ids, points, self.k)
         self.kept_ids[q], self.kept[q] = ids[top], points[top]
 
