@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .lexicons import IDIOMS, TO_DEVANAGARI, literal_array, literal_map
-from .numbers import normalize_numbers
+from .numbers import normalize_numbers, normalize_numbers_composed
 from .text import BLANK, FOREIGN, SOLID, col, is_latin_token, is_roman_word, tokens
 
 OPEN, CLOSE = "[EN]", "[/EN]"
@@ -45,9 +45,10 @@ def strip_tags(c: Column | str) -> Column:
     return F.replace(F.replace(col(c), F.lit(OPEN), F.lit("")), F.lit(CLOSE), F.lit(""))
 
 
-def clean_pipeline(c: Column | str) -> Column:
-    """Struct (original, normalized, tagged, english_words)."""
-    normal = normalize_numbers(col(c))
+def clean_pipeline(c: Column | str, compose: bool = False) -> Column:
+    """Struct (original, normalized, tagged, english_words). compose: numbers are read in the composed
+    text; otherwise a word whose letters and signs stand apart is no number."""
+    normal = (normalize_numbers_composed if compose else normalize_numbers)(col(c))
     found = detect_english(normal)
     return F.struct(col(c).alias("original"), normal.alias("normalized"), found["tagged"].alias("tagged"), found["words"].alias("english_words"))
 

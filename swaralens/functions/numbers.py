@@ -101,6 +101,14 @@ def normalize_numbers(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else spoken_to_digits(t))
 
 
+@F.pandas_udf(StringType())
+def normalize_numbers_composed(texts: pd.Series) -> pd.Series:
+    """As normalize_numbers, of the composed text: letters with a sign apart are read as well."""
+    import unicodedata
+
+    return texts.map(lambda t: None if t is None else spoken_to_digits(unicodedata.normalize("NFC", t)))
+
+
 @F.pandas_udf(StringType())
 def normalize_numbers_additive(texts: pd.Series) -> pd.Series:
     """As normalize_numbers, but 'one lakh five thousand' is 105000."""

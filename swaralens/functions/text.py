@@ -118,7 +118,9 @@ def round_even(c: Column | str, digits: int) -> Column:
 
 
 def title_id(c: Column | str) -> Column:
-    return F.initcap(F.replace(col(c), F.lit("_"), F.lit(" ")))
+    """Underscores become blanks, and every run of letters gets a capital and small letters."""
+    runs = F.regexp_extract_all(F.replace(col(c), F.lit("_"), F.lit(" ")), F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1))
+    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(F.substr(r, F.lit(2))))), "")
 
 
 def reason_prefix(c: Column | str) -> Column:

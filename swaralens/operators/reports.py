@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.english import clean_pipeline, has_idiom, is_code_mixed, roman_to_devanagari, strip_tags
@@ -80,18 +81,55 @@ def wer_table(rates: DataFrame) -> DataFrame:
     return rates.crossJoin(first).select("model", "wer", round_even(relative_reduction(F.col("base"), F.col("wer")), 2).alias("relative_reduction"))  # one row
 
 
-def completeness(report: DataFrame, keys: list[str]) -> DataFrame:
-    """(key, present) for dotted paths of a one-row report."""
+def _field(report: DataFrame | None, paths: list[str], other: Column) -> Column:
+    """The first of some dotted paths that a report has, or another value."""
+    found = [F.col(f"_report.{p}") for p in paths if report is not None and has_path(report, p)]
+    return F.coalesce(*found, other) if found else other
+
+
+def submission_report(errors: DataFrame, existing: DataFrame | None = None, source: str = "error_samples.csv") -> DataFrame:
+    """One row, the whole report: results, sampling, taxonomy, top fixes and the evaluated fix, from
+    errors (idx, category, reference, hypothesis, root_cause, severity) and what an existing report of
+    one row holds. The rates of the evaluated fix may stand under implemented_fix.results or directly
+    under implemented_fix. Only tables of a row a category or severity are gathered."""
+    known = taxonomy(errors)
+    fields = ("id", "name", "frequency", "frequency_pct", "description", "examples")
+    ranked = F.array_sort(F.collect_list(F.struct("rank", *fields)))
+    categories = known.agg(F.transform(ranked, lambda c: F.struct(*(c[f].alias(f) for f in fields))).alias("categories"))
+    fixes = top_fixes(known).agg(F.array_sort(F.collect_list(F.struct("rank", "fix_name", "target_errors", "approach", "potential_impact_pct", "effort"))).alias("top_fixes"))
+    levels = value_counts(errors, "severity").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("severity", "n")))).alias("severities"))
+    total = errors.agg(F.count("*").alias("total"))
+    rows = total.crossJoin(categories).crossJoin(fixes).crossJoin(levels)  # one row each
+    if existing is not None:
+        rows = rows.crossJoin(existing.limit(1).select(F.struct(*existing.columns).alias("_report")))
+    take = lambda paths, other: _field(existing, paths, other)
+    rate = lambda name: take([f"implemented_fix.results.{name}", f"implemented_fix.{name}"], F.lit(None).cast("double")).alias(name)
+    fix = F.struct(
+        take(["implemented_fix.name"], F.lit("Not yet evaluated")).alias("name"), take(["implemented_fix.target_subset_size"], F.lit(0)).cast("long").alias("target_subset_size"),
+        rate("wer_before"), rate("wer_after"), rate("delta_pp"),
+    )
+    taxonomy_ = F.struct("categories", F.size("categories").alias("total_error_categories"))
+    sampling = F.struct(F.col("total").alias("total_error_samples"), F.lit(source).alias("error_samples_csv"), F.col("severities").alias("severity_distribution"))
+    results = take(["results"], F.array().cast("array<string>"))
+    return rows.select(
+        take(["dataset"], F.lit("Live Hindi ASR evaluation")).alias("dataset"), take(["metric"], F.lit("Word Error Rate (WER %)")).alias("metric"), results.alias("results"), sampling.alias("sampling"),
+        taxonomy_.alias("error_taxonomy"), F.col("top_fixes"), F.col("top_fixes").alias("proposed_fixes"), fix.alias("implemented_fix"), fix.alias("implementation_results"),
+    )
+
+
+def has_path(report: DataFrame, path: str) -> bool:
+    """Whether a report's schema has a dotted path."""
+    kind = report.schema
+    for part in path.split("."):
+        if part not in getattr(kind, "names", []):
+            return False
+        kind = kind[part].dataType
+    return True
 
-    def has(path: str) -> bool:
-        schema = report.schema
-        for part in path.split("."):
-            if part not in getattr(schema, "names", []):
-                return False
-            schema = schema[part].dataType
-        return True
 
-    return report.sparkSession.createDataFrame([(k, has(k)) for k in keys], "key string, present boolean")
+def completeness(report: DataFrame, keys: list[str]) -> DataFrame:
+    """(key, present) for dotted paths of a one-row report."""
+    return report.sparkSession.createDataFrame([(k, has_path(report, k)) for k in keys], "key string, present boolean")
 
 
 def write_csv(rows: DataFrame, path: str, order: str | None = None) -> None:
@@ -100,9 +138,27 @@ def write_csv(rows: DataFrame, path: str, order: str | None = None) -> None:
 
 
 def write_report(report: DataFrame, path: str) -> None:
-    """One JSON object a row; null fields are kept."""
+    """A report of one row as one JSON object; null fields are kept. Tables go to write_array()."""
     report.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
+def write_array(rows: DataFrame, path: str) -> None:
+    """JSON files that each hold an array of objects, null fields included: what the array readers take."""
+
+    def run(batches):
+        between = "["
+        for batch in batches:
+            lines = []
+            for row in batch.column("value").to_pylist():
+                lines.append(between + row)
+                between = ","
+            if lines:
+                yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["[]" if between == "[" else "]"], pa.string())], names=["value"])
+
+    as_json = rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value"))
+    as_json.mapInArrow(run, "value string").write.mode("overwrite").text(path)
+
+
 def write_lines(rows: DataFrame, column: str, path: str) -> None:
     rows.select(F.col(column).cast("string").alias("value")).write.mode("overwrite").text(path)

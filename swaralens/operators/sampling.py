@@ -27,12 +27,32 @@ def error_rows(pairs: DataFrame) -> DataFrame:
 
 
 def stratified_sample(errors: DataFrame, n: int = 50) -> DataFrame:
-    """About n rows: from each severity, every so many by reference length, at most a quarter each."""
+    """About n rows: from each severity, every so many by reference length and idx, at most a quarter each.
+
+    Rows are counted by severity and length first. The wanted places lie in a few of these groups (at
+    most a quarter of n a severity), and in each of them in a few blocks of ids; only
+    rows of such blocks are ever sorted.
+    """
     target = math.ceil(n / 4)
-    group = Window.partitionBy("severity")
-    ranked = errors.where("severity is not null").withColumns({"_k": F.row_number().over(group.orderBy("ref_len", "idx")) - 1, "_m": F.count("*").over(group)})
-    step = F.greatest(F.lit(1), F.floor(F.col("_m") / target).cast("int"))
-    return ranked.where((F.col("_k") % step == 0) & (F.col("_k") / step < target)).drop("_k", "_m")
+    rows = errors.where("severity is not null").withColumn("_r", _range("idx"))
+    groups = rows.groupBy("severity", "ref_len", "_r").agg(F.count("*").alias("_n"))
+    lengths = groups.groupBy("severity", "ref_len").agg(F.sum("_n").alias("_l"))
+    by_length = Window.partitionBy("severity").orderBy("ref_len").rowsBetween(Window.unboundedPreceding, -1)
+    lengths = lengths.withColumns({"_first": F.coalesce(F.sum("_l").over(by_length), F.lit(0)), "_m": F.sum("_l").over(Window.partitionBy("severity"))})
+    step = F.greatest(F.lit(1), F.floor(F.col("_m") / target).cast("long"))
+    # A span of places [first, first + count) holds a wanted one if a multiple of step below target x step is in it.
+    wanted = lambda first, count: (F.ceil(first / F.col("_step")) * F.col("_step") < first + count) & (F.ceil(first / F.col("_step")) < target)
+    lengths = lengths.withColumn("_step", step).where(wanted(F.col("_first"), F.col("_l")))
+    by_range = Window.partitionBy("severity", "ref_len").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    spans = groups.join(lengths, ["severity", "ref_len"]).withColumn("_first", F.col("_first") + F.coalesce(F.sum("_n").over(by_range), F.lit(0))).where(wanted(F.col("_first"), F.col("_n")))
+    place = F.col("_first") + F.row_number().over(Window.partitionBy("severity", "ref_len", "_r").orderBy("idx")) - 1
+    ranked = rows.join(F.broadcast(spans.select("severity", "ref_len", "_r", "_first", "_step")), ["severity", "ref_len", "_r"]).withColumn("_k", place)  # at most n spans
+    return ranked.where((F.col("_k") % F.col("_step") == 0) & (F.col("_k") / F.col("_step") < target)).select(*errors.columns)
+
+
+def _range(key: str) -> Column:
+    """The range of a number's order: blocks of 65,536 values, which rise with the numbers; other types have one."""
+    return F.coalesce(F.shiftright(F.col(key).try_cast("long"), 16), F.lit(0))
 
 
 def hash_sample(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:

@@ -1,3 +1,3 @@
 """Registered queries: importing this package registers them all."""
 
-from . import lattice_queries, queries  # noqa: F401
+from . import lattice_queries, queries, request_queries  # noqa: F401

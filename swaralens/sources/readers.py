@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,22 +22,37 @@ def require_columns(df: DataFrame, names) -> DataFrame:
     return df
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path under spark.checkpoint.dir, which all machines share; without that setting a
+    temporary one, on a local master only."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        base = "file://" + tempfile.mkdtemp(prefix="swaralens-")
+    path = f"{base.rstrip('/')}/swaralens-{name}-{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of recordings."""
+    """JSON arrays of recordings, one or more files of them."""
     return spark.read.schema(MANIFEST).option("multiLine", True).json(path)
 
 
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of {raw_asr, reference}; a missing reference is empty. idx is a row's place in the file."""
-    rows = spark.read.option("multiLine", True).option("wholetext", True).text(path)
-    each = rows.select(F.posexplode(F.from_json("value", "array<struct<raw_asr:string,reference:string>>")).alias("idx", "p"))
-    return each.select(F.col("idx").cast("long").alias("utt_id"), "p.raw_asr", F.coalesce("p.reference", F.lit("")).alias("reference"))
+    """JSON arrays of {raw_asr, reference}; a missing reference is empty. utt_id is a row's place in its
+    file, or its own utt_id."""
+    rows = spark.read.text(path, wholetext=True)
+    each = rows.select(F.posexplode(F.from_json("value", "array<struct<utt_id:bigint,raw_asr:string,reference:string>>")).alias("idx", "p"))
+    return each.select(F.coalesce("p.utt_id", F.col("idx").cast("long")).alias("utt_id"), "p.raw_asr", F.coalesce("p.reference", F.lit("")).alias("reference"))
 
 
 def read_lattice_input(spark: SparkSession, path: str) -> DataFrame:
     """One JSON object {reference, models: {name: text}} a file -> (utt_id, reference, model_ord, model,
     hyp), with the models in the object's own order."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.get_json_object("value", "$.reference").alias("reference"), F.from_json(F.get_json_object("value", "$.models"), "map<string,string>").alias("models"))
+    rows = spark.read.text(path, wholetext=True).select(F.get_json_object("value", "$.reference").alias("reference"), F.from_json(F.get_json_object("value", "$.models"), "map<string,string>").alias("models"))
     rows = rows.select(F.monotonically_increasing_id().alias("utt_id"), "reference", F.posexplode(F.map_entries("models")).alias("model_ord", "m"))
     return rows.select("utt_id", F.when(F.col("reference").isNull(), F.raise_error(F.lit("reference is missing"))).otherwise(F.col("reference")).alias("reference"), "model_ord", F.col("m.key").alias("model"), F.col("m.value").alias("hyp"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.english import clean_pipeline
 from ..functions.spell import classify, normal_word
+from ..sources.readers import scratch
 
 
 def read_stream(spark: SparkSession, path: str, schema, max_files: int | None = None) -> DataFrame:
@@ -26,7 +27,7 @@ def clean_stream(rows: DataFrame, text: str = "text") -> DataFrame:
 
 
 def spell_stream(rows: DataFrame, word: str = "word") -> DataFrame:
-    return rows.withColumn("_j", classify(normal_word(word))).select(*rows.columns, "_j.*")
+    return rows.withColumn("_w", normal_word(word)).withColumn("_j", classify("_w")).select(*rows.columns, "_j.*")
 
 
 def windowed_counts(events: DataFrame, time: str, key: str, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -35,8 +36,15 @@ def windowed_counts(events: DataFrame, time: str, key: str, window: str = "1 hou
 
 
 def run_once(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Processes all that is there into a table in memory, for tests and small results."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
+    """Processes all that is there into a written table under the scratch folder and reads it. A batch
+    that is run again replaces its own files."""
+    spark = stream.sparkSession
+    path = scratch(spark, name)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/table" if mode == "complete" else f"{path}/table/batch={number}")
+
+    writer = stream.writeStream.foreachBatch(write).outputMode(mode).trigger(availableNow=True)
+    query = writer.option("checkpointLocation", checkpoint or f"{path}/checkpoint").start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.parquet(f"{path}/table").select(*stream.columns)

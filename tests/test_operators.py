@@ -68,9 +68,9 @@ def test_fix_evaluation_of_nothing_is_null(spark):
 def test_readers_and_sinks(spark, tmp_path):
     (tmp_path / "m.json").write_text(json.dumps([{"user_id": 1, "recording_id": 2, "duration": 1.5}]), "utf-8")
     assert readers.read_manifest(spark, str(tmp_path / "m.json")).first()["recording_id"] == 2
-    (tmp_path / "p.json").write_text(json.dumps([{"raw_asr": "क"}, {"raw_asr": "ख", "reference": "ग"}], ensure_ascii=False), "utf-8")
+    (tmp_path / "p.json").write_text(json.dumps([{"raw_asr": "क"}, {"raw_asr": "ख", "reference": "ग"}], ensure_ascii=False, indent=2), "utf-8")
     assert [tuple(r) for r in readers.read_pairs(spark, str(tmp_path / "p.json")).orderBy("utt_id").collect()] == [(0, "क", ""), (1, "ख", "ग")]
-    (tmp_path / "l.json").write_text(json.dumps({"reference": "a", "models": {"Z": "x", "A": "y"}}), "utf-8")
+    (tmp_path / "l.json").write_text(json.dumps({"reference": "a", "models": {"Z": "x", "A": "y"}}, indent=2), "utf-8")
     assert [(r["model_ord"], r["model"]) for r in readers.read_lattice_input(spark, str(tmp_path / "l.json")).orderBy("model_ord").collect()] == [(0, "Z"), (1, "A")]
     words = spark.createDataFrame([(1, "NA"), (0, "क")], "pos int, word string")
     reports.write_csv(words, str(tmp_path / "w"), "pos")
@@ -79,6 +79,10 @@ def test_readers_and_sinks(spark, tmp_path):
     report = readers.read_report(spark, str(tmp_path / "r"))
     assert [r["present"] for r in reports.completeness(report, ["a", "s.b", "x"]).collect()] == [True, True, False]
     assert readers.read_report(spark, str(tmp_path / "none")) is None
+    reports.write_array(spark.range(5).selectExpr("id user_id", "id recording_id", "cast(null as string) language").repartition(3), str(tmp_path / "a"))
+    assert sorted(r["recording_id"] for r in readers.read_manifest(spark, str(tmp_path / "a")).collect()) == [0, 1, 2, 3, 4]
+    reports.write_array(spark.range(0).selectExpr("id user_id"), str(tmp_path / "e"))
+    assert readers.read_manifest(spark, str(tmp_path / "e")).count() == 0
     reports.write_lines(words, "word", str(tmp_path / "t"))
     assert {r["word"] for r in readers.read_wordlist(spark, str(tmp_path / "t")).collect()} == {"क", "NA"}
     assert [r["present"] for r in readers.report_status(spark, {"r": str(tmp_path / "r"), "n": str(tmp_path / "n")}).collect()] == [True, False]
@@ -152,3 +156,28 @@ def test_vote_lattice(spark):
     assert rates["M0"] == 0.0 and rates["M3"] == 50.0
     with pytest.raises(ValueError):
         lattices.bins(hyps, "none")
+
+
+def test_sampled_places_are_those_of_the_whole_order(spark):
+    """Against every row in order; ids in several blocks, lengths with many rows, ties."""
+    import math
+    import random
+
+    rng = random.Random(7)
+    rows = [(k * 9973, rng.choice([1, 2, 2, 2, 5]), rng.choice(["Low", "Low", "High", None])) for k in range(400)]
+    for n in (8, 50, 400):
+        target, want = math.ceil(n / 4), set()
+        for name in ("Low", "High"):
+            own = sorted((length, i) for i, length, s in rows if s == name)
+            step = max(1, len(own) // target)
+            want |= {i for k, (_, i) in enumerate(own) if k % step == 0 and k / step < target}
+        got = sampling.stratified_sample(spark.createDataFrame(rows, "idx long, ref_len int, severity string"), n)
+        assert got.columns == ["idx", "ref_len", "severity"] and sorted(r["idx"] for r in got.collect()) == sorted(want)
+
+
+def test_streams_in_several_batches(spark, tmp_path):
+    for k in range(3):
+        spark.createDataFrame([(f"w{k}",)], "word string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = transcripts.read_stream(spark, str(tmp_path / "in"), "word string", 1)
+    got = transcripts.run_once(transcripts.spell_stream(stream), "spelled")
+    assert sorted(r["word"] for r in got.collect()) == ["w0", "w1", "w2"] and got.columns == ["word", "verdict", "confidence", "reason"]
