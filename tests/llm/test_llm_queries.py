@@ -5,14 +5,15 @@ import random
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from swaralens.llm import components, mixing, ogg, pieces, pii, simhash, substrings, token_counts, topk, toxicity, url_filter
-from swaralens.llm.queries import QUERIES, RULES, tokenizer_path
+from swaralens.llm.queries import ORACLE_SQL, QUERIES, RULES, tokenizer_path
 
-from .test_llm_pure import components_of, naive_fingerprint
+from .test_llm_pure import components_of, naive_fingerprint, naive_spans
 
 #: Further columns have the names that operators use within.
 MORE = ("rule", "score", "toxic", "held_out", "fp", "ids", "body", "chunk", "row_hash", "order", "block", "epochs", "n_tokens", "mix_source", "component_id", "n")
@@ -384,13 +385,217 @@ def test_odd_rows_keep_their_number(spark, odd):
     assert kept.columns == odd.columns
 
 
-def test_queries_and_pipeline(spark, small):
+@pytest.fixture(scope="module")
+def texts(spark, small):
+    return {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+
+
+def test_op1_query(spark, small, texts):
+    ids = sorted(texts)
+    prints = [naive_fingerprint(texts[i]) for i in ids]
+    label = components_of(prints)
+    low = {c: min(i for i, x in zip(ids, label) if x == c) for c in set(label)}
+    want = {(i, f"{p:016x}", low[c]) for i, p, c in zip(ids, prints, label)}
+    assert {(r["doc_id"], r["fingerprint"], r["component_id"]) for r in QUERIES["op1_simhash_near_dedup"](spark, small).collect()} == want
+
+
+def test_op2_query(spark, small, texts):
+    rows = QUERIES["op2_toxicity"](spark, small).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(texts)
+    for r in rows:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7)
+
+
+def test_op3_query(spark, small):
+    """Rules by plain Python; other pages by a power iteration over all links."""
+    pages = spark.read.parquet(f"{small}/pages.parquet").collect()
+
+    def host_of(url):
+        if not url or "://" not in url:
+            return "", ""
+        rest = url.split("://", 1)[1]
+        cut = min([rest.find(c) for c in "/?#" if c in rest], default=len(rest))
+        path = rest[cut:]
+        end = min([path.find(c) for c in "?#" if c in path], default=len(path))
+        return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in rest[:cut]), path[:end]
+
+    def rule_of(host, path):
+        fits = [r for r in RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        return max(fits, key=lambda r: len(r.text), default=None)
+
+    parts = [host_of(p["url"]) for p in pages]
+    rules = [rule_of(*x) for x in parts]
+    hosts = sorted({h for h, _ in parts if h})
+    edges = {}
+    for r in url_filter.host_edges(url_filter.with_host(spark.read.parquet(f"{small}/pages.parquet")).select("host", "html")).collect():
+        edges.setdefault(r["src"], {})[r["dst"]] = r["weight"]
+    hosts = sorted({*hosts, *edges, *(d for x in edges.values() for d in x)})
+    at = {h: k for k, h in enumerate(hosts)}
+    walk = np.zeros((len(hosts), len(hosts)))
+    for src, out in edges.items():
+        for dst, w in out.items():
+            walk[at[src], at[dst]] = w
+    rank = {}
+    for kind, table in (("allow", walk), ("block", walk.T)):
+        totals = table.sum(1, keepdims=True)
+        table = np.divide(table, totals, out=np.zeros_like(table), where=totals > 0)
+        mass = np.zeros(len(hosts))
+        for (h, _), rule in zip(parts, rules):
+            if h and rule and rule.verdict == kind:
+                mass[at[h]] += 1
+        mass = mass / max(mass.sum(), 1)
+        now = mass
+        for _ in range(300):
+            moved = 0.85 * now @ table
+            now = moved + (1 - moved.sum()) * mass
+        rank[kind] = now
+    want = set()
+    for p, (host, path), rule in zip(pages, parts, rules):
+        other = "block" if host and rank["block"][at[host]] > rank["allow"][at[host]] * (1 + 1e-7) else "allow"
+        want.add((p["page_id"], host, path, rule and rule.text, rule.verdict if rule else other))
+    assert {(r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in QUERIES["op3_url_filters"](spark, small).collect()} == want
+
+
+def test_op4_and_op10_queries(spark, small, texts):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+    ids = {i: library.encode(t) for i, t in texts.items()}
+    want = {(i, len(t.encode()), len(ids[i]), len(ids[i]) > 4096) for i, t in texts.items()}
+    assert {tuple(r) for r in QUERIES["op4_token_counts"](spark, small).collect()} == want
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = {(i, len(ids[i]) + 1, sha(" ".join(map(str, [*ids[i], library.eos_id()]))), sha(library.decode([*ids[i], library.eos_id()]))) for i in texts}
+    assert {tuple(r) for r in QUERIES["op10_sentencepiece"](spark, small).collect()} == want
+
+
+def test_op5_query(spark, small, texts):
+    first, raw = {}, {i: t.encode() for i, t in texts.items()}
+    for i in sorted(raw):
+        for k in range(len(raw[i]) - 49):
+            first.setdefault(raw[i][k : k + 50], i)
+    want = set()
+    for i, b in raw.items():
+        gone = bytearray(len(b))
+        for k in range(len(b) - 49):
+            if first[b[k : k + 50]] < i:
+                gone[k : k + 50] = b"\1" * 50
+        kept = bytes(c for c, g in zip(b, gone) if not g)
+        want.add((i, len(b), sum(gone), sum(gone[k] and not (k and gone[k - 1]) for k in range(len(b))), hashlib.sha256(kept).hexdigest()))
+    assert {tuple(r) for r in QUERIES["op5_suffix_array_dedup"](spark, small).collect()} == want
+
+
+def test_op6_query(spark, small, texts):
+    """The plain spans of every whole text; added ones lie beside them."""
+    for r in QUERIES["op6_pii"](spark, small).collect():
+        base = naive_spans(texts[r["doc_id"]])
+        assert [r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]] == [sum(k == kind for _, _, k in base) for kind in range(4)]
+        written = [f"{pii.KINDS[k]}:{a}:{b}" for a, b, k in base]
+        assert r["base_sha256"] == hashlib.sha256(",".join(written).encode()).hexdigest()
+        spans = r["spans"].split(",") if r["spans"] else []
+        assert set(written) <= set(spans) and len(spans) == len(base) + r["n_added"]
+        assert spans == sorted(spans, key=lambda s: (int(s.split(":")[1]), pii.KINDS.index(s.split(":")[0]), int(s.split(":")[2])))
+
+
+def test_op7_query(spark, small, texts):
+    rows = QUERIES["op7_ogg"](spark, small).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        raw = texts[r["doc_id"]].encode()
+        payload = raw.ljust(max(576, -(-len(raw) // 576) * 576), b"\xff")
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        assert r["media_bytes"] > len(payload) and r["error"] is None and r["feature"]
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_queries_with_sql(spark, small, name):
+    con = duckdb.connect()
+    for table in ("embeddings", "pages"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{small}/{table}.parquet'")
+    got, want = QUERIES[name](spark, small).toPandas(), con.execute(ORACLE_SQL[name]).df()
+    assert sorted(got.columns) == sorted(want.columns)
+    rows = lambda df: Counter(tuple(None if x is None or x != x else str(x) for x in r) for r in df[sorted(df.columns)].itertuples(index=False))
+    assert rows(got) == rows(want)
+
+
+def test_op9_query(spark, small, texts):
+    """Every document is placed, sources keep their weights, and none is repeated beyond the limit."""
+    rows = QUERIES["op9_source_mixing"](spark, small).collect()
+    source = {r["doc_id"]: r["source"] or "" for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    totals, spent = Counter(), Counter()
+    for i, t in texts.items():
+        totals[source[i]] += max(1, len(t.split()))
+    for r in rows:
+        assert r["source"] == source[r["doc_id"]]
+        spent[r["source"]] += r["n_tokens"]
+    w = mixing.weights(totals, mixing.find_exponent(totals, max_repeats=2.0))
+    assert {r["doc_id"] for r in rows} == set(texts) and all(r["weight"] == pytest.approx(w[r["source"]]) for r in rows)
+    assert all(totals[s] <= spent[s] <= 2.0 * totals[s] + 1e-6 for s in totals)
+
+
+def test_empty_tables_of_all(spark, odd, labels):
+    none = odd.limit(0)
+    path = tokenizer_path("piece_bpe_32k.model")
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert url_filter.judge_urls(pages, RULES).count() == token_counts.token_counts(none, path).count() == pieces.piece_codes(none, path).count() == 0
+    assert pii.redacted(none).count() == toxicity.without_toxic(none, labels).count() == 0
+
+
+def test_very_long_and_periodic_texts(spark):
+    """A megabyte of one kind each, beside a copy: results are those of the whole text."""
+    units = ["-", "1 ", "a [dot] ", "x@", "word ", "é"]
+    rows = [(k, u * (1_000_000 // len(u))) for k, u in enumerate(units)] + [(10, "word " * 200_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    gone = {r["doc_id"]: r["n_removed"] for r in substrings.deduplicate(docs).collect()}
+    assert gone[10] == 1_000_000 and all(gone[k] == 0 for k in range(len(units)))
+    assert pii.personal_data(docs).count() == len(rows)
+    marks = spark.createDataFrame([(k, k % 2) for k in range(6)], "doc_id long, toxic int")
+    assert toxicity.toxicity(docs, marks).count() == len(rows)
+    assert {r["component_id"] for r in simhash.near_duplicates(docs).where("doc_id in (4, 10)").collect()} == {4}
+
+
+def test_pipeline_by_brute_force(spark, small):
+    """Each stage's rows from the one before by plain Python, where its decisions are exact."""
     import corpus_pipeline
+    import sentencepiece
 
     docs = spark.read.parquet(f"{small}/documents.parquet")
     assert len(QUERIES) == 10
-    staged = docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        staged = stage(spark, staged, small)
-        assert staged.columns == docs.columns, name
-    assert Counter(r["doc_id"] for r in corpus_pipeline.run(spark, small).collect()) == Counter(r["doc_id"] for r in staged.collect())
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["toxicity", "simhash_near_dedup", "pii", "mixing", "sentencepiece"]
+    of = lambda df: Counter(map(tuple, df.select("doc_id", "text", "source").collect()))
+    kept = stages["toxicity"](spark, docs, small)
+    scores = {r["doc_id"]: r["score"] for r in toxicity.toxicity(docs, spark.read.parquet(f"{small}/labels.parquet")).collect()}
+    assert kept.columns == docs.columns and of(kept) == Counter({x: n for x, n in of(docs).items() if scores[x[0]] < 0.7})
+    single = stages["simhash_near_dedup"](spark, kept, small)
+    rows = sorted(of(kept))
+    label = components_of([naive_fingerprint(t or "") for _, t, _ in rows])
+    first = {}
+    for (i, *_), c in zip(rows, label):
+        first[c] = min(first.get(c, i), i)
+    assert single.columns == docs.columns and of(single) == Counter(x for x, c in zip(rows, label) if first[c] == x[0])
+    clean = stages["pii"](spark, single, small)
+    want = Counter()
+    for i, t, s in of(single):
+        out, at = [], 0
+        for a, b, kind in pii.detect(t)[1]:
+            if a >= at:
+                out += [t[at:a], f"[{pii.KINDS[kind].upper()}]"]
+            at = max(at, b)
+        want[i, "".join(out) + t[at:], s] += 1
+    assert of(clean) == want and all(not naive_spans(t) for _, t, _ in want)
+    mixed = stages["mixing"](spark, clean, small)
+    copies = of(mixed)
+    totals = Counter()
+    for _, t, s in of(clean):
+        totals[s] += max(1, len(t.split()))
+    spent = Counter()
+    for (_, t, s), n in copies.items():
+        spent[s] += n * max(1, len(t.split()))
+    assert mixed.columns == docs.columns and set(copies) == set(of(clean)) and all(totals[s] <= spent[s] <= 1.25 * totals[s] + 1e-6 for s in totals)
+    library = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+    codes = Counter((r["doc_id"], r["n_tokens"]) for r in stages["sentencepiece"](spark, mixed, small).collect())
+    want = Counter()
+    for (i, t, _), n in copies.items():
+        want[i, len(library.encode(t)) + 1] += n
+    assert codes == want
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in corpus_pipeline.run(spark, small).collect()) == want
