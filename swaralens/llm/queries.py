@@ -66,7 +66,8 @@ def op10_sentencepiece(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_toxicity, op3_url_filters, op4_token_counts, op5_suffix_array_dedup, op6_pii, op7_ogg, op8_exact_top_k, op9_source_mixing, op10_sentencepiece)}
 
-#: Both read `embeddings` and `pages` whole. On these pages links stay within their host, so trust and
+#: Each reads its table whole. op5's SQL looks at every 50-byte string of every text, as hexadecimal digits;
+#: texts are cut into overlapping pieces first, so that taking a string does not walk its text. On these pages links stay within their host, so trust and
 #: distrust stay where they start and a host's verdict follows from its share of the seeds.
 ORACLE_SQL: dict[str, str] = {
     "op3_url_filters": """
@@ -89,6 +90,21 @@ spread AS (SELECT m.host, m.trust * CASE WHEN o.host IS NULL THEN 1 ELSE 1 / 0.1
 ranks AS (SELECT host, coalesce(trust / nullif(sum(trust) OVER (), 0), 0) AS trust, coalesce(distrust / nullif(sum(distrust) OVER (), 0), 0) AS distrust FROM spread)
 SELECT j.page_id, j.host, j.path, j.rule, coalesce(j.verdict, CASE WHEN r.distrust > r.trust * (1 + 1e-9) THEN 'block' END, 'allow') AS verdict
 FROM judged j LEFT JOIN ranks r USING (host)
+""",
+    "op5_suffix_array_dedup": """
+WITH d AS (SELECT row_number() OVER () AS no, CAST(doc_id AS BIGINT) AS doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT no, doc_id, h, length(h) // 2 - 49 AS windows, unnest(range(0, length(h) // 2 - 49, 256)) AS c FROM d),
+p AS (SELECT no, doc_id, c, least(256, windows - c) AS n, substr(h, 2 * c + 1, 610) AS part FROM c),
+w AS (SELECT no, doc_id, c, part, unnest(range(0, n)) AS k FROM p),
+s AS (SELECT no, doc_id, c + k AS k, substr(part, 2 * k + 1, 100) AS s FROM w),
+f AS (SELECT s, min(doc_id) AS low FROM s GROUP BY s),
+lost AS (SELECT no, k FROM s JOIN f USING (s) WHERE low < doc_id),
+marked AS (SELECT no, k, CASE WHEN k <= lag(k) OVER (PARTITION BY no ORDER BY k) + 50 THEN 0 ELSE 1 END AS fresh FROM lost),
+numbered AS (SELECT no, k, sum(fresh) OVER (PARTITION BY no ORDER BY k ROWS UNBOUNDED PRECEDING) AS run FROM marked),
+runs AS (SELECT no, min(k) AS a, max(k) + 50 AS b FROM numbered GROUP BY no, run),
+gaps AS (SELECT no, coalesce(lag(b) OVER (PARTITION BY no ORDER BY a), 0) AS since, a, b FROM runs),
+kept AS (SELECT no, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept FROM gaps JOIN d USING (no) GROUP BY no)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN kept USING (no)
 """,
     "op8_exact_top_k": """
 WITH sound AS (

@@ -509,7 +509,7 @@ def test_op7_query(spark, small, texts):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_queries_with_sql(spark, small, name):
     con = duckdb.connect()
-    for table in ("embeddings", "pages"):
+    for table in ("documents", "embeddings", "pages"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{small}/{table}.parquet'")
     got, want = QUERIES[name](spark, small).toPandas(), con.execute(ORACLE_SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
