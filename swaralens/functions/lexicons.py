@@ -31,12 +31,14 @@ IDIOMS = (
     "चार चाँद", "सात समुद्र", "नौ दो ग्यारह", "दस बीस",
 )
 DEVANAGARI_DIGITS = "०१२३४५६७८९"
-#: English words and their usual Devanagari spelling; the first 29 are those that text is rewritten with.
-LOANWORDS = (
+#: English words and their usual Devanagari spelling: those that text is rewritten with, and further ones.
+REWRITTEN = (
     ("interview", "इंटरव्यू"), ("computer", "कंप्यूटर"), ("mobile", "मोबाइल"), ("phone", "फ़ोन"), ("online", "ऑनलाइन"), ("offline", "ऑफलाइन"), ("class", "क्लास"), ("college", "कॉलेज"),
     ("school", "स्कूल"), ("job", "जॉब"), ("work", "वर्क"), ("team", "टीम"), ("manager", "मैनेजर"), ("company", "कंपनी"), ("office", "ऑफिस"), ("business", "बिज़नेस"),
     ("problem", "प्रॉब्लम"), ("solution", "सॉल्यूशन"), ("success", "सक्सेस"), ("youtube", "यूट्यूब"), ("whatsapp", "व्हाट्सएप"), ("facebook", "फेसबुक"), ("instagram", "इंस्टाग्राम"),
     ("video", "वीडियो"), ("podcast", "पॉडकास्ट"), ("startup", "स्टार्टअप"), ("internship", "इंटर्नशिप"), ("percentage", "परसेंटेज"), ("result", "रिज़ल्ट"),
+)
+FURTHER = (
     ("technology", "टेक्नोलॉजी"), ("training", "ट्रेनिंग"), ("marketing", "मार्केटिंग"), ("software", "सॉफ्टवेयर"), ("hardware", "हार्डवेयर"), ("data", "डेटा"), ("server", "सर्वर"),
     ("cloud", "क्लाउड"), ("app", "ऐप"), ("app", "एप"), ("website", "वेबसाइट"), ("email", "ईमेल"), ("laptop", "लैपटॉप"),
 )
@@ -71,8 +73,8 @@ MULTIPLIERS = {word: value for value, words in MULTIPLIER_WORDS.items() for word
 LATTICE_DIGITS = {word: str(value) for value, words in LATTICE_NUMBERS.items() for word in words.split()}
 #: Longest first; among equals by code point, so that results do not depend on the order of a set.
 IDIOM_ORDER = tuple(sorted(IDIOMS, key=lambda p: (-len(p), p)))
-TO_DEVANAGARI = dict(LOANWORDS[:29])
-LOAN_SPELLINGS = tuple(deva for _, deva in LOANWORDS)
+TO_DEVANAGARI = dict(REWRITTEN)
+LOAN_SPELLINGS = tuple(deva for _, deva in REWRITTEN + FURTHER)
 
 
 def literal_map(pairs: dict) -> Column:
