@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from swaralens.llm import mixing, pieces, pii, simhash, toxicity
-from swaralens.llm.common import materialize, table
+from swaralens.llm.common import drop_table, materialize, table
 from swaralens.llm.queries import tokenizer_path
 
 #: Times a small source may be repeated to come closer to the large ones. Every document stays.
@@ -49,8 +49,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's result is written to the shared folder and read back."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; each stage's result is written to the shared folder and read back, and
+    the one before it goes."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            drop_table(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
