@@ -599,3 +599,13 @@ def test_pipeline_by_brute_force(spark, small):
         want[i, len(library.encode(t)) + 1] += n
     assert codes == want
     assert Counter((r["doc_id"], r["n_tokens"]) for r in corpus_pipeline.run(spark, small).collect()) == want
+
+
+def test_no_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from swaralens.llm import common
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda key, other=None: other), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_dir(cluster)
