@@ -27,9 +27,13 @@ def taxonomy(errors: DataFrame, examples: int = 5) -> DataFrame:
     first = rows.withColumn("_k", F.row_number().over(Window.partitionBy("id").orderBy("idx"))).where(F.col("_k") <= examples)
     shown = first.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("_k"), text("reference").alias("reference"), text("hypothesis").alias("output"), text("root_cause").alias("cause")))), lambda e: F.struct(e["reference"].alias("reference"), e["output"].alias("output"), e["cause"].alias("cause"))).alias("examples"))
     about = F.coalesce(F.try_element_at(literal_map({k: v[0] for k, v in CATEGORIES.items()}), F.col("id")), F.lit(OTHER_CATEGORY[0]))
-    rows = counts.crossJoin(total).join(shown, "id", "left")  # one row of totals
-    order = Window.orderBy(F.desc("frequency"), "id")  # one row a category
-    return rows.select(F.row_number().over(order).alias("rank"), "id", title_id("id").alias("name"), "frequency", round_even(F.col("frequency") / F.col("total") * 100, 2).alias("frequency_pct"), about.alias("description"), "examples")
+    # Categories of one frequency are ranked by id behind all of a higher one. Distinct frequencies are
+    # at most the square root of twice the errors.
+    above = Window.orderBy(F.desc("frequency")).rowsBetween(Window.unboundedPreceding, -1)
+    classes = counts.groupBy("frequency").agg(F.count("*").alias("_n")).withColumn("_above", F.coalesce(F.sum("_n").over(above), F.lit(0))).drop("_n")
+    rows = counts.join(classes, "frequency").crossJoin(total).join(shown, "id", "left")  # one row of totals
+    rank = F.col("_above") + F.row_number().over(Window.partitionBy("frequency").orderBy("id"))
+    return rows.select(rank.cast("int").alias("rank"), "id", title_id("id").alias("name"), "frequency", round_even(F.col("frequency") / F.col("total") * 100, 2).alias("frequency_pct"), about.alias("description"), "examples")
 
 
 def top_fixes(categories: DataFrame, k: int = 3) -> DataFrame:

@@ -181,3 +181,11 @@ def test_streams_in_several_batches(spark, tmp_path):
     stream = transcripts.read_stream(spark, str(tmp_path / "in"), "word string", 1)
     got = transcripts.run_once(transcripts.spell_stream(stream), "spelled")
     assert sorted(r["word"] for r in got.collect()) == ["w0", "w1", "w2"] and got.columns == ["word", "verdict", "confidence", "reason"]
+
+
+def test_no_local_folder_on_a_cluster(tmp_path):
+    from types import SimpleNamespace
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda key, other=None: other), sparkContext=SimpleNamespace(master="local-cluster[2,1,1024]"))
+    with pytest.raises(ValueError, match="checkpoint"):
+        readers.scratch(cluster, "x")

@@ -56,3 +56,14 @@ def test_entry_points(spark):
 
     assert e.entry(spark).count() > 0
     assert set(QUERIES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_queries_without_the_training_data_operators(monkeypatch):
+    """Where they cannot be imported, for whatever library is missing, the others stay registered."""
+    import sys
+
+    import __spark_entry__ as e
+
+    for name in ("swaralens.llm", "swaralens.llm.queries", "corpus_pipeline"):
+        monkeypatch.setitem(sys.modules, name, None)
+    assert set(e.queries()) == set(QUERIES) and set(e.oracle_sql()) == set(ORACLE_SQL)
