@@ -14,7 +14,7 @@ row of its own, dealt by both blocks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -238,6 +238,16 @@ def links(classes: DataFrame) -> DataFrame:
     return direct.union(pairs.select("key", "x", "y").mapInArrow(_across, "a long, b long"))
 
 
+def with_classes(prints: DataFrame, ids: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of documents with what `ids` says of their class; ids has a row for each class, with its
+    number of rows in n."""
+    # At most HOT classes have more than one in HOT of the rows: those are joined without a shuffle.
+    total = ids.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(ids.where(F.col("n") * HOT > total).drop("n"))
+    rest = prints.join(hot.select(*keys), keys, "left_anti").join(ids.drop("n"), keys, "left")
+    return rest.unionByName(prints.join(hot, keys))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """documents -> (doc_id, fp, component_id), a row for each row of documents.
 
@@ -253,20 +263,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     lows = named.groupBy("root").agg(F.min("first_id").alias("low"))
     named = named.join(lows, "root").select("fp", "low")
     ids = materialize(classes.join(named, "fp", "left").select("fp", F.coalesce("low", "first_id").alias("component_id"), "n"), "ids")
-    # At most HOT classes have more than one in HOT of the rows: those are joined without a shuffle.
-    total = ids.agg(F.sum("n")).first()[0] or 0
-    hot = F.broadcast(ids.where(F.col("n") * HOT > total).drop("n"))
-    rest = prints.join(hot.select("fp"), "fp", "left_anti").join(ids.drop("n"), "fp", "left")
-    return rest.unionByName(prints.join(hot, "fp")).select("doc_id", "fp", "component_id")
+    return with_classes(prints, ids, ["fp"]).select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, most: int = BROADCAST) -> DataFrame:
-    """documents without all but the first document (smallest doc_id) of each component.
+def keep_one(docs: DataFrame, most: int = BROADCAST, judge: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
+    """documents without all but the first document (smallest doc_id) of each component that `judge` finds.
 
     Rows with a null doc_id stay. Rows that share a kept doc_id stay together. Up to `most` ids that
     go are sent to the texts; beyond that, texts and ids are joined by key.
     """
-    judged = materialize(near_duplicates(docs), "judged")
+    judged = materialize(judge(docs), "judged")
     lost = judged.where("doc_id <> component_id").select("doc_id").distinct()
     kept = judged.where("doc_id = component_id").select("doc_id").distinct()
     gone = materialize(lost.join(kept, "doc_id", "left_anti"), "gone").withColumnRenamed("doc_id", "gone_id")

@@ -9,8 +9,9 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 
-from swaralens.llm import components, mixing, ogg, pieces, pii, simhash, substrings, token_counts, topk, toxicity, url_filter
+from swaralens.llm import components, mixing, ogg, pieces, pii, simhash, similar, substrings, token_counts, topk, toxicity, url_filter
 from swaralens.llm.queries import ORACLE_SQL, QUERIES, RULES, tokenizer_path
 
 from .test_llm_pure import components_of, naive_fingerprint, naive_spans
@@ -122,6 +123,103 @@ def test_keep_one_either_way(spark, odd):
         assert {r["doc_id"] for r in kept.collect()} - {None} == low - {None}
 
 
+def naive_similar(text):
+    """Bits and number of distinct five-word shingles, one at a time."""
+    words = text.encode().lower().split()
+    shingles = {b" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+    ones = [0] * 256
+    for x in shingles:
+        z = xxhash.xxh64_intdigest(x, 42)
+        for w in range(4):
+            for k in range(64):
+                ones[64 * w + k] += z >> k & 1
+            z = (z + 0x9E3779B97F4A7C15) % 2**64
+            z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+            z = (z ^ z >> 27) * 0x94D049BB133111EB % 2**64
+            z ^= z >> 31
+    bits = [2 * n > len(shingles) for n in ones]
+    return [b for k, b in enumerate(bits) if k % 64 < 63], len(shingles)
+
+
+def similar_groups(prints):
+    """Smallest index reachable over pairs of like size with at most 40 differing bits, 23 in the first half."""
+    label = list(range(len(prints)))
+    bits = np.array([p[0] for p in prints])
+    size = np.array([p[1] for p in prints])
+    while True:
+        before = list(label)
+        for k in range(len(prints)):
+            differ = bits ^ bits[k]
+            linked = np.flatnonzero((differ.sum(1) <= 40) & (differ[:, :126].sum(1) <= 23) & (np.maximum(size, size[k]) * 4 <= np.minimum(size, size[k]) * 5))
+            low = min(label[j] for j in linked)
+            for j in linked:
+                label[j] = low
+        if before == label:
+            return label
+
+
+def altered(rng, words, share):
+    return " ".join(rng.choice("abcdefgh") * 3 if rng.random() < share else w for w in words)
+
+
+def test_similar_by_brute_force(spark, small):
+    rng = random.Random(8)
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    for k in range(12):
+        words = [str(rng.randrange(500)) for _ in range(rng.choice([3, 6, 40, 200]))]
+        rows += [(1000 + 10 * k + j, altered(rng, words, 0.01 * j)) for j in range(8)]
+    rows += [(2000, ""), (2001, None), (2002, " \n "), (None, rows[0][1])]
+    known = [(i, t or "") for i, t in rows if i is not None]
+    prints = [naive_similar(t) for _, t in known]
+    for (_, t), (bits, size) in zip(known, prints):
+        *words, n = similar.fingerprint(t)
+        assert (sum(b << k for k, b in enumerate(bits)), size) == (sum(w << 63 * k for k, w in enumerate(words)), n)
+    label = similar_groups(prints)
+    low = {c: min(known[k][0] for k in range(len(known)) if label[k] == c) for c in set(label)}
+    want = Counter((i, low[c]) for (i, _), c in zip(known, label))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert Counter(map(tuple, similar.near_duplicates(docs).collect())) == want
+    kept = simhash.keep_one(docs, judge=similar.near_duplicates)
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter([None, *low.values()])
+
+
+@pytest.mark.parametrize("limit, block", [(1, 64), (4, 16), (64, 4096)])
+def test_similar_keys_of_every_size(spark, monkeypatch, limit, block):
+    """Small keys, searched keys and keys in blocks give the groups of all pairs."""
+    rng = random.Random(9)
+    words = [str(rng.randrange(900)) for _ in range(300)]
+    texts = [altered(rng, words, rng.choice([0, 0.005, 0.02, 0.05, 0.2])) for _ in range(150)]
+    texts += [" ".join(str(rng.randrange(900)) for _ in range(rng.randint(0, 60))) for _ in range(50)]
+    prints = sorted({similar.fingerprint(t) for t in texts})
+    node = {p: k for k, p in enumerate(prints)}
+    rows = [(*p, k) for p, k in node.items()]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(6)], names=similar.ROW)
+    keyed = pa.Table.from_batches(list(similar._keys([batch]))).sort_by([("key", "ascending"), ("size", "ascending")])
+    monkeypatch.setattr(similar, "SMALL", limit)
+    monkeypatch.setattr(similar, "BLOCK", block)
+    found = pa.Table.from_batches(list(similar._links(keyed.to_batches(max_chunksize=97)))).to_pylist()
+    held = [r for r in found if r["members"] is not None]
+    found = [(r["a"], r["b"]) for r in found if r["members"] is None]
+    pairs = [(x, y) for x in held for y in held if x["key"] == y["key"] and x["block"] < y["block"]]
+    assert all(x["most"] <= y["least"] for x, y in pairs) and bool(pairs) == (block == 16)
+    for x, y in pairs:
+        one = pa.RecordBatch.from_pylist([{"key": x["key"], "x": x["members"], "y": y["members"]}])
+        for r in similar._across([one]):
+            found += list(zip(*(c.to_pylist() for c in r.columns)))
+    a, b = (np.array(c, np.int64) for c in zip(*found))
+    roots = dict(zip(*(x.tolist() for x in components.local_forest(a, b))))
+    bits = [([w >> k & 1 == 1 for w in p[:4] for k in range(63)], p[4]) for p in prints]
+    assert [roots.get(k, k) for k in range(len(prints))] == similar_groups(bits)
+
+
+def test_similar_odd_rows(spark, odd):
+    none = odd.limit(0)
+    assert similar.near_duplicates(none).count() == simhash.keep_one(none, judge=similar.near_duplicates).count() == 0
+    assert similar.near_duplicates(odd).count() == odd.where("doc_id is not null").count()
+    kept = simhash.keep_one(odd, judge=similar.near_duplicates)
+    assert kept.columns == odd.columns and kept.where("doc_id is null").count() == odd.where("doc_id is null").count()
+
+
 def test_repeats_by_brute_force(spark, small):
     rng = random.Random(4)
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{small}/documents.parquet").limit(60).collect()]
@@ -568,7 +666,7 @@ def test_pipeline_by_brute_force(spark, small):
     assert kept.columns == docs.columns and of(kept) == Counter({x: n for x, n in of(docs).items() if scores[x[0]] < 0.7})
     single = stages["simhash_near_dedup"](spark, kept, small)
     rows = sorted(of(kept))
-    label = components_of([naive_fingerprint(t or "") for _, t, _ in rows])
+    label = similar_groups([naive_similar(t or "") for _, t, _ in rows])
     first = {}
     for (i, *_), c in zip(rows, label):
         first[c] = min(first.get(c, i), i)
