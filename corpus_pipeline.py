@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from swaralens.llm import mixing, pieces, pii, simhash, toxicity
+from swaralens.llm import mixing, pieces, pii, simhash, similar, toxicity
 from swaralens.llm.common import drop_table, materialize, table
 from swaralens.llm.queries import tokenizer_path
 
@@ -21,7 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return simhash.keep_one(docs, judge=similar.near_duplicates)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
