@@ -65,7 +65,8 @@ def _round(links: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(a, b) links -> (node, root): the smallest node reachable, for every node that has a link.
+    """(a, b) links -> (node, root): the smallest node reachable, for every node that has a link, roots
+    themselves included.
 
     Self links and repeated links are allowed and ignored; an empty table gives an empty one. Nulls
     must be removed before.
@@ -75,7 +76,8 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b") % 1_000_003).alias("h"), F.sum((F.col("a") < F.col("b")).cast("int")).alias("up")).first()
         if state["n"] == 0 or (sign == (state["n"], state["h"]) and state["up"] == 0):
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            # Links end at their root, so a root has no row among them yet.
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b").distinct())
         sign = (state["n"], state["h"])
         after = materialize(_round(now), "links")
         drop_table(now)

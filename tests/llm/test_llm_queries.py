@@ -61,6 +61,30 @@ def test_near_duplicates_by_brute_force(spark, small, monkeypatch):
     assert got == want
 
 
+def test_components_hold_their_roots(spark):
+    links = spark.createDataFrame([(5, 2), (2, 9), (-7, 4), (3, 3)], "a long, b long")
+    assert sorted(map(tuple, components.components(links).collect())) == [(-7, -7), (2, 2), (4, -7), (5, 2), (9, 2)]
+
+
+def test_near_copies_of_copies_by_brute_force(spark):
+    """Groups of copies with near copies around them: every fingerprint of a group joins it, the smallest too."""
+    rng = random.Random(13)
+    texts = []
+    for _ in range(12):
+        words = [rng.choice("abcdefghij") + str(rng.randrange(500)) for _ in range(400)]
+        texts += [" ".join(words)] * rng.randint(1, 9)
+        texts += [" ".join([*words[:-1], f"other{k}"]) for k in range(rng.randint(1, 5))]
+    rng.shuffle(texts)
+    known = {t: naive_fingerprint(t) for t in set(texts)}
+    prints = [known[t] for t in texts]
+    label = components_of(prints)
+    assert sum(len({p for p, x in zip(prints, label) if x == c}) > 1 for c in set(label)) >= 6
+    want = {(k, prints[k], label.index(label[k])) for k in range(len(texts))}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {(r["doc_id"], r["fp"] % 2**64, r["component_id"]) for r in simhash.near_duplicates(docs).collect()} == want
+    assert {r["doc_id"] for r in simhash.keep_one(docs).collect()} == {c for _, _, c in want}
+
+
 def test_links_beyond_a_block(spark):
     """A key with more classes than a block holds: all within one bit of each other's neighbour."""
     rng = random.Random(3)
