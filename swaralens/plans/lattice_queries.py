@@ -133,7 +133,7 @@ WITH {GAP_SCORES}, n AS (SELECT count(DISTINCT utt_id) AS utterances FROM scores
 a AS (SELECT model, count(*) AS n, round_even(sum((standard_wer * 100)::BIGINT) / 100 / any_value(utterances), 2) AS standard_wer, round_even(sum((lattice_wer * 100)::BIGINT) / 100 / any_value(utterances), 2) AS lattice_wer FROM scores CROSS JOIN n GROUP BY model)
 SELECT *, lattice_wer < standard_wer AS improved FROM a""")
 def lattice_model_averages(spark, sf_dir):
-    return lattices.model_averages(gap_scores(spark, sf_dir)).select("model", "n", "standard_wer", "lattice_wer", "improved")
+    return lattices.averages(gap_hypotheses(placed_turns(spark, sf_dir))).select("model", "n", "standard_wer", "lattice_wer", "improved")
 
 
 @query(f"WITH {GAP_SQL} SELECT utt_id, pos::BIGINT AS position, array_to_string(list_filter(forms, lambda x: x IS NOT NULL), '|') AS forms FROM bins")
