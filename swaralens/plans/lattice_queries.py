@@ -147,7 +147,7 @@ WITH {GAP_SQL}, f AS (SELECT utt_id, pos, hyp AS form, count(*) AS n FROM cells
 s AS (SELECT *, n / sum(n) OVER (PARTITION BY utt_id, pos) AS share FROM f)
 SELECT utt_id, pos::BIGINT AS pos, form, n, share, share >= 0.6 AND form IS DISTINCT FROM ref AS trusted FROM s JOIN bins USING (utt_id, pos)""")
 def lattice_votes(spark, sf_dir):
-    found = lattices.votes(lattices.alignments(gap_hypotheses(placed_turns(spark, sf_dir))))
+    found = lattices.utterance_votes(gap_hypotheses(placed_turns(spark, sf_dir)))
     return found.select("utt_id", F.col("pos").cast("long").alias("pos"), "form", "n", "share", "trusted")
 
 
