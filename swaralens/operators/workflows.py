@@ -47,7 +47,7 @@ def word_sheet(words: DataFrame, position: str, word: str = "word") -> tuple[Dat
 
 def lattice_sheet(sheet: DataFrame, utt_id: str = "utt_id", least: int = 2) -> DataFrame:
     """Model averages of a sheet with a column Human and columns 'Model *'."""
-    return lattices.model_averages(lattices.evaluate(lattices.with_enough_models(lattices.from_wide(sheet, utt_id=utt_id), least)))
+    return lattices.averages(lattices.from_wide(sheet, utt_id=utt_id), least=least)
 
 
 def cleanup_pairs(sheet: DataFrame, model: str = "Model H", utt_id: str = "utt_id") -> DataFrame:
