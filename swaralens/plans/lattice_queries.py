@@ -138,7 +138,7 @@ def lattice_model_averages(spark, sf_dir):
 
 @query(f"WITH {GAP_SQL} SELECT utt_id, pos::BIGINT AS position, array_to_string(list_filter(forms, lambda x: x IS NOT NULL), '|') AS forms FROM bins")
 def lattice_bins(spark, sf_dir):
-    found = lattices.bins(lattices.alignments(gap_hypotheses(placed_turns(spark, sf_dir))))
+    found = lattices.utterance_bins(gap_hypotheses(placed_turns(spark, sf_dir)))
     return found.select("utt_id", F.col("position").cast("long").alias("position"), F.array_join("variants", "|").alias("forms"))
 
 
