@@ -36,11 +36,16 @@ def align_pairs(spark, sf_dir):
 # --- Four models over every turn ------------------------------------------------------------------
 
 
+def dealt_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns, dealt over the tasks: their files may be few."""
+    return load(spark, sf_dir, "conversations").repartition(lattices.shares(spark), "conv_id", "turn")
+
+
 def placed_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(utt_id, w): the words of every turn, made distinct by their places, so that each has one best
     alignment."""
     words = F.transform(text.tokens("text"), lambda t, i: F.concat(t, F.lit("_"), (i + 1).cast("string")))
-    return load(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("utt_id"), words.alias("w")).where(F.size("w") > 0)
+    return dealt_turns(spark, sf_dir).select((F.col("conv_id") * 1000 + F.col("turn")).alias("utt_id"), words.alias("w")).where(F.size("w") > 0)
 
 
 def customer_words(spark: SparkSession, sf_dir: str) -> DataFrame:
