@@ -186,7 +186,7 @@ m AS (SELECT utt_id, k, r FROM w CROSS JOIN (VALUES (3), (4)) AS v(k))
 SELECT utt_id, 'every ' || k AS model, round_even((len(r) // k) / len(r) * 100, 2) AS standard_wer, 0.0 AS lattice_wer, len(r)::BIGINT AS bins FROM m WHERE len(r) > 0""")
 def lattice_turns(spark, sf_dir):
     """Two models that only replace words: alignments have no gaps, so every word is in its bin."""
-    turns = load(spark, sf_dir, "conversations").withColumn("w", text.tokens("text")).where(F.size("w") > 0)
+    turns = dealt_turns(spark, sf_dir).withColumn("w", text.tokens("text")).where(F.size("w") > 0)
     swap = lambda k: F.array_join(F.transform("w", lambda t, i: F.when((i + 1) % k == 0, F.lit(f"zz{k}")).otherwise(t)), " ")
     each = F.explode(F.array(*(F.struct(F.lit(k).alias("model_ord"), F.lit(f"every {k}").alias("model"), swap(k).alias("hyp")) for k in (3, 4))))
     hyps = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("utt_id"), F.col("text").alias("reference"), each.alias("m")).select("utt_id", "reference", "m.*")
