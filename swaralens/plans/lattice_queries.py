@@ -113,16 +113,12 @@ scores AS (
   FROM v)"""
 
 
-def gap_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lattices.evaluate(gap_hypotheses(placed_turns(spark, sf_dir)))
-
-
 @query(f"""
 WITH {GAP_SCORES} SELECT utt_id, model, standard_wer, lattice_wer, substitutions, deletions, insertions, bins::BIGINT AS bins, lattice_wer < standard_wer AS improved,
   CASE WHEN lattice_wer < standard_wer THEN '✓ fairer' WHEN lattice_wer = standard_wer THEN '=' ELSE '✗' END AS verdict FROM scores""")
 def lattice_wer(spark, sf_dir):
     counts = (F.col(c).cast("long").alias(c) for c in ("substitutions", "deletions", "insertions", "bins"))
-    return gap_scores(spark, sf_dir).select("utt_id", "model", "standard_wer", "lattice_wer", *counts, "improved", "verdict")
+    return lattices.evaluate(gap_hypotheses(placed_turns(spark, sf_dir))).select("utt_id", "model", "standard_wer", "lattice_wer", *counts, "improved", "verdict")
 
 
 @query(f"""
