@@ -7,6 +7,8 @@ would pass 64 bits.
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,6 +20,7 @@ from .text import col
 WINDOW = 6
 #: Private-use characters that stand for idioms while numbers are read.
 GUARD = 0xE000
+_GUARDED = re.compile(f"[{chr(GUARD)}-{chr(GUARD + len(IDIOM_ORDER) - 1)}]").search
 
 
 def protect_idioms(c: Column | str) -> Column:
@@ -75,7 +78,8 @@ def spoken_to_digits(text: str, additive: bool = False) -> str:
     """Number words of a text as digits. Runs of number words are read six at a time; zero is no
     number and stays a word."""
     for k, phrase in enumerate(IDIOM_ORDER):
-        text = text.replace(phrase, chr(GUARD + k))
+        if phrase in text:
+            text = text.replace(phrase, chr(GUARD + k))
     words = text.translate(str.maketrans(DEVANAGARI_DIGITS, "0123456789")).split()
     out: list[str] = []
     at, n = 0, len(words)
@@ -91,6 +95,8 @@ def spoken_to_digits(text: str, additive: bool = False) -> str:
             out.append(words[at])
             at += 1
     joined = " ".join(out)
+    if not _GUARDED(joined):
+        return joined
     for k, phrase in enumerate(IDIOM_ORDER):
         joined = joined.replace(chr(GUARD + k), phrase)
     return joined

@@ -70,13 +70,15 @@ def cleanup_evaluation(rows: DataFrame) -> DataFrame:
 
 
 def cleanup_examples(rows: DataFrame, numbers: int = 5, idioms: int = 3, english: int = 5) -> DataFrame:
-    """The first rows of each kind, in order of utt_id: changed numbers, idioms, English words."""
-    kinds = (("number", F.col("changed"), numbers), ("idiom", F.col("has_idiom"), idioms), ("english", F.size("english_words") > 0, english))
-    parts = [rows.where(c).orderBy("utt_id").limit(k).select(F.lit(kind).alias("kind"), "utt_id", "raw_asr", "normalized", "tagged", "english_words") for kind, c, k in kinds]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    """The first rows of each kind, in order of utt_id: changed numbers, idioms, English words. Rows are
+    worked out once for all kinds, and a task passes on no more than the first of each."""
+    kinds = {"number": ("changed", numbers), "idiom": ("has_idiom", idioms), "english": ("_english", english)}
+    marked = rows.withColumn("_english", F.size("english_words") > 0)
+    each = marked.select(F.explode(F.array(*(F.when(F.col(c), kind) for kind, (c, _) in kinds.items()))).alias("kind"), "utt_id", "raw_asr", "normalized", "tagged", "english_words").where("kind is not null")
+    turn = F.row_number().over(Window.partitionBy("kind").orderBy("utt_id"))
+    first = each.withColumn("_k", turn).where(F.col("_k") <= max(k for _, k in kinds.values()))
+    most = F.element_at(literal_map({kind: k for kind, (_, k) in kinds.items()}), F.col("kind"))
+    return first.where(F.col("_k") <= most).drop("_k")
 
 
 def wer_table(rates: DataFrame) -> DataFrame:
