@@ -8,8 +8,9 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
+from .lattice import distance
 from .text import col, round_even, tokens
 
 #: First of the characters that stand for tokens, and how many there are before the surrogates.
@@ -35,9 +36,15 @@ def token_distance(left: Column, right: Column) -> Column:
     return F.element_at(F.transform(both, distance), 1)
 
 
+@F.pandas_udf(IntegerType())
+def _edits(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
+    return pd.Series([None if r is None or h is None else distance(r.split(), h.split()) for r, h in zip(reference, hypothesis)], dtype="Int32")
+
+
 def wer_edits(reference: Column | str, hypothesis: Column | str) -> Column:
-    """Word edits of a pair, tokens as they are."""
-    return token_distance(tokens(reference), tokens(hypothesis))
+    """Word edits of a pair, tokens as they are. Each token is a bit here, where token_distance() looks it
+    up among all of the pair."""
+    return _edits(col(reference), col(hypothesis))
 
 
 def wer(reference: Column | str, hypothesis: Column | str) -> Column:
