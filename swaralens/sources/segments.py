@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,39 +15,50 @@ SHORTEST, LONGEST = 0.5, 30.0
 FALSY = ("null", '""', "0", "0.0", "-0.0", "false", "[]", "{}")
 
 
+KEYS = ("transcription", "text", "sentence")
+
+
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with the value, as the one element of an array, worked out once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def _json(value: Column, key: str | None = None) -> Column:
     return F.to_json(F.try_variant_get(value, f"$.{key}", "variant") if key else value)
 
 
-def _text_of(item: Column) -> Column:
-    """The text of an object's first given key, or of a string; null if that is no string."""
-    own = _json(item)
-    first = F.coalesce(*(F.when(~_json(item, k).isin(*FALSY), _json(item, k)) for k in ("transcription", "text", "sentence")))
-    picked = F.when(own.startswith('"'), own).when(own.startswith("{"), first)
-    text = F.when(picked.startswith('"'), F.get_json_object(F.concat(F.lit('{"t":'), picked, F.lit("}")), "$.t"))
-    return F.nullif(strip(text), F.lit(""))
+def _text_of(json: Column) -> Column:
+    """The text of an object's first given key, or of a string; null if that is no string or blank."""
+    first = F.coalesce(*(F.when(~json[k].isin(*FALSY), json[k]) for k in KEYS))
+    picked = F.when(json["own"].startswith('"'), json["own"]).otherwise(first)
+    text = _once(picked, lambda p: F.when(p.startswith('"'), strip(F.get_json_object(F.concat(F.lit('{"t":'), p, F.lit("}")), "$.t"))))
+    return _once(text, lambda t: F.when(t != "", t))
 
 
-def _number(item: Column, key: str) -> Column:
+def _number(raw: Column) -> Column:
     """Seconds of a bound, in three parts: null if absent, NaN if it is no number."""
-    raw = _json(item, key)
-    given = raw.isNotNull() & (raw != "null")
-    return F.when(given, F.coalesce(F.regexp_replace(raw, '^"|"$', "").try_cast("double"), F.lit(float("nan"))))
+    return F.when(raw.isNotNull() & (raw != "null"), F.coalesce(F.regexp_replace(raw, '^"|"$', "").try_cast("double"), F.lit(float("nan"))))
 
 
 def extract_segments(transcripts: DataFrame, payload: str = "payload") -> DataFrame:
     """Explodes payload into (segment, text, start, end), segments counted from 0. Broken JSON and
     blank texts give no row. A bound that is no number is NaN."""
-    value = F.try_parse_json(payload)
-    items = F.when(F.to_json(value).startswith("["), F.try_variant_get(value, "$", "array<variant>")).otherwise(F.array(value))
+
+    def jsons(own: Column, item: Column) -> Column:
+        """The JSON texts of an item and, of an object, its fields."""
+        is_object = own.startswith("{")
+        return F.struct(own.alias("own"), *(F.when(is_object, _json(item, k)).alias(k) for k in (*KEYS, "start", "end")))
 
     def segment(item: Column) -> Column:
-        is_object = _json(item).startswith("{")
-        return F.struct(_text_of(item).alias("text"), F.when(is_object, _number(item, "start")).alias("start"), F.when(is_object, _number(item, "end")).alias("end"))
+        read = _once(_json(item), lambda own: jsons(own, item))
+        return _once(read, lambda j: F.struct(_text_of(j).alias("text"), _number(j["start"]).alias("start"), _number(j["end"]).alias("end")))
 
-    kept = F.filter(F.transform(items, segment), lambda s: s["text"].isNotNull())
+    items = lambda v: F.when(_json(v).startswith("["), F.try_variant_get(v, "$", "array<variant>")).when(v.isNotNull(), F.array(v))
+    kept = F.filter(F.transform(_once(F.try_parse_json(payload), items), segment), lambda s: s["text"].isNotNull())
     names = transcripts.columns
-    return transcripts.select(*names, F.posexplode(F.when(value.isNotNull(), kept)).alias("segment", "_x")).select(*names, "segment", "_x.text", "_x.start", "_x.end")
+    # An outer explode, as Spark works out the array of an inner one twice more to filter rows by it.
+    found = transcripts.select(*names, F.posexplode_outer(kept).alias("segment", "_x")).where("segment is not null")
+    return found.select(*names, "segment", "_x.text", "_x.start", "_x.end")
 
 
 def build_samples(segments: DataFrame, length: Column | None = None, most: int = 448) -> DataFrame:
