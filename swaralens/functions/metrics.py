@@ -1,6 +1,7 @@
-"""Edit distances and error rates, native.
+"""Edit distances and error rates.
 
-Word distance maps each distinct token of a pair to one character and uses the built-in levenshtein.
+token_distance() is native: it maps each distinct token of a pair to one character and uses the built-in
+levenshtein. wer_edits() and what is built on it run in Python, with a bit a token.
 """
 
 from __future__ import annotations
