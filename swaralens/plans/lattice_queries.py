@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..functions.lattice import align, lattice_tokens, variants
+from ..functions.lattice import align, align_texts, lattice_tokens, variants
 from ..operators import lattices, workflows
 from .registry import B, load, query, rows, tokens_sql, values
 
@@ -155,8 +155,7 @@ def lattice_votes(spark, sf_dir):
 @query(f"""
 WITH {GAP_SQL} SELECT utt_id, model, md5(array_to_string(list_transform(c, lambda x: coalesce(x.ref, '-') || '/' || coalesce(x.hyp, '-')), ' ')) AS path_md5, len(c)::BIGINT AS columns FROM columns""")
 def align_turns(spark, sf_dir):
-    lower = lambda c: lattice_tokens(F.lower(c))
-    given = gap_hypotheses(placed_turns(spark, sf_dir)).select("utt_id", "model", align(lower("reference"), lower("hyp")).alias("p"))
+    given = gap_hypotheses(placed_turns(spark, sf_dir)).select("utt_id", "model", align_texts(F.lower("reference"), F.lower("hyp")).alias("p"))
     gap = lambda c: F.coalesce(c, F.lit("-"))
     return given.select("utt_id", "model", F.md5(F.array_join(F.transform("p", lambda x: F.concat(gap(x["ref"]), F.lit("/"), gap(x["hyp"]))), " ")).alias("path_md5"), F.size("p").cast("long").alias("columns"))
 
